@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, mixing, packing, secrets, simhash, tokens, topk, winnow
+from . import language, line_dedup, mixing, packing, secrets, simhash, substring, tokens, topk, winnow
 from .common import table
 
 
@@ -19,8 +19,6 @@ def vocabulary(name: str) -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import substring
-
     out = substring.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
