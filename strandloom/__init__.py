@@ -1,0 +1 @@
+"""Analytics over sets of sequences, planned by Spark."""

@@ -1,6 +1,7 @@
-"""Registered queries and their SQL oracles, gathered from the query modules."""
+"""Registered queries and their SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
