@@ -236,9 +236,10 @@ def extend_backward(spark, sf_dir):
     return suffix.extend_backward(sa, two, DNA)
 
 
-@query(f"WITH {SA}, {_grams('g4', 'bench', 4)}, w AS ({_intervals(4)}) SELECT w.word, w.lo, w.width, v.lo AS rlo FROM w LEFT JOIN w v ON v.word = {RC.format('w.word')}")
+@query(f"WITH {SA}, {_grams('g4', 'bench', 4)}, w AS ({_intervals(4)}) SELECT w.word, w.lo, w.width, coalesce(v.lo, -1) AS rlo FROM w LEFT JOIN w v ON v.word = {RC.format('w.word')}")
 def reverse_intervals(spark, sf_dir):
-    return suffix.reverse_intervals(suffix.word_intervals(*index(spark, sf_dir), [4]), DNA)
+    out = suffix.reverse_intervals(suffix.word_intervals(*index(spark, sf_dir), [4]), DNA)
+    return out.withColumn("rlo", F.coalesce("rlo", F.lit(-1)))
 
 
 WORDS = ("ACGT", "AC", "T", "N", "GATTACA", "NNNN", "TACG", "CCA", "GGGGGGGG")
