@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, as_bytes, stored
 
 SLICES = 64
+ROWS = 500  # rows of a batch that are held as Python objects at a time
 
 
 def line_keys(text: bytes | None, min_chars: int) -> list[bytes | None]:
@@ -44,29 +45,37 @@ def _digests(text: bytes | None, min_chars: int) -> set[bytes]:
     return {xxhash.xxh3_128_digest(k) for k in line_keys(text, min_chars) if k is not None}
 
 
-def _slots(digests: list[bytes], bits: int) -> np.ndarray:
-    """Two slots for each digest, as an array of shape (n, 2)."""
-    return (np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2) >> np.uint64(64 - bits)).astype(np.int64)
+def _slots(digests: np.ndarray, bits: int) -> np.ndarray:
+    """Two slots for each 128-bit digest, as an array of shape (n, 2)."""
+    return (digests >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _has(cells: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((cells[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def _set(cells: np.ndarray, at: np.ndarray) -> None:
+    at = at.ravel()
+    np.bitwise_or.at(cells, at >> 3, np.left_shift(np.uint8(1), (7 - (at & 7)).astype(np.uint8)))
 
 
 def _seen_slices(min_chars: int, bits: int):
-    size = 1 << bits
-    part = size // SLICES
+    part = (1 << bits) // SLICES // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, np.bool_), np.zeros(size, np.bool_)
+        once, twice = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                if found := list(_digests(text, min_chars)):
-                    at = _slots(found, bits)
-                    again = at[once[at].all(axis=1)]
-                    twice[again] = True
-                    # two keys of one document may meet in a slot: that slot is then seen twice
-                    flat, n = np.unique(at, return_counts=True)
-                    twice[flat[n > 1]] = True
-                    once[flat] = True
+            for lo in range(0, batch.num_rows, ROWS):
+                found = [d for text in as_bytes(batch.column(0).slice(lo, ROWS)) for d in _digests(text, min_chars)]
+                if not found:
+                    continue
+                # Keys of several of these documents have been seen twice, others if they were before.
+                keys, n = np.unique(np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, 2), axis=0, return_counts=True)
+                at = _slots(keys, bits)
+                _set(twice, at[(n > 1) | _has(once, at)])
+                _set(once, at)
         rows = [
-            (i, kind, zlib.compress(np.packbits(a[i * part : (i + 1) * part]).tobytes(), 1))
+            (i, kind, zlib.compress(a[i * part : (i + 1) * part].tobytes(), 1))
             for i in range(SLICES)
             for kind, a in ((1, once), (2, twice))
             if a[i * part : (i + 1) * part].any()
@@ -105,15 +114,16 @@ def _suspects(min_chars: int, bits: int, filter_cells):
         for i, cell in filter_cells.value.items():
             twice[i * part : (i + 1) * part] = np.frombuffer(cell, np.uint8)
         for batch in batches:
-            ids, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if found := list(_digests(text, min_chars)):
-                    at = _slots(found, bits)
-                    hit = ((twice[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-                    kept = [d for d, h in zip(found, hit, strict=True) if h]
-                    ids += [doc] * len(kept)
-                    keys += kept
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(keys, pa.binary())], ["id", "key"])
+            for lo in range(0, batch.num_rows, ROWS):
+                ids, keys = [], []
+                for doc, text in zip(batch.column(0).slice(lo, ROWS).to_pylist(), as_bytes(batch.column(1).slice(lo, ROWS)), strict=True):
+                    found = _digests(text, min_chars)
+                    ids += [doc] * len(found)
+                    keys += found
+                if keys:
+                    hit = _has(twice, _slots(np.frombuffer(b"".join(keys), ">u8").astype(np.uint64).reshape(-1, 2), bits)).tolist()
+                    ids, keys = ([x for x, h in zip(c, hit, strict=True) if h] for c in (ids, keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(keys, pa.binary())], ["id", "key"])
 
     return run
 
@@ -147,7 +157,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,kept_text:string>")
     def cut(texts: pa.Array, lost: pa.Array) -> pa.Array:
         n_lines, n_dropped, kept = [], [], []
-        for text, gone in zip(as_bytes(texts), lost.to_pylist(), strict=True):
+        for text, gone in ((t, g) for lo in range(0, len(texts), ROWS) for t, g in zip(as_bytes(texts.slice(lo, ROWS)), lost.slice(lo, ROWS).to_pylist(), strict=True)):
             lines = (text or b"").split(b"\n")
             n_lines.append(len(lines))
             if gone:
