@@ -86,7 +86,8 @@ def write_vcf(rows: DataFrame, path: str) -> None:
 
 
 class FastaSource(DataSource):
-    """``spark.read.format("fasta").option("path", ...)``: (name, s) with filters on the name pushed down.
+    """``spark.read.format("fasta").option("path", ...)``: (name, s); with option
+    ``pushdown`` filters on the name are applied while reading.
 
     For paths that all executors can open as files; ``read_fasta`` reads any path that Spark reads.
     """
@@ -99,7 +100,8 @@ class FastaSource(DataSource):
         return "name string, s string"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FastaReader(self.options["path"], Alphabet.of(self.options.get("alphabet", "DNA/wildcard")))
+        kind = FastaPushReader if self.options.get("pushdown", "false") == "true" else FastaReader
+        return kind(self.options["path"], Alphabet.of(self.options.get("alphabet", "DNA/wildcard")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return FastaWriter(self.options["path"], int(self.options.get("width", "70")))
@@ -109,17 +111,6 @@ class FastaReader(DataSourceReader):
     def __init__(self, path: str, alphabet: Alphabet) -> None:
         self.path, self.alphabet, self.names = path, alphabet, None
 
-    def pushFilters(self, filters):  # noqa: N802
-        from pyspark.sql.datasource import EqualTo, In
-
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("name",):
-                self.names = {f.value} if self.names is None else self.names & {f.value}
-            elif isinstance(f, In) and f.attribute == ("name",):
-                self.names = set(f.value) if self.names is None else self.names & set(f.value)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
         import glob
         import os
@@ -150,6 +141,21 @@ class FastaReader(DataSourceReader):
             yield name, cleaned(lines)
 
 
+class FastaPushReader(FastaReader):
+    """With filters on the name; needs spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters):  # noqa: N802
+        from pyspark.sql.datasource import EqualTo, In
+
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("name",):
+                self.names = {f.value} if self.names is None else self.names & {f.value}
+            elif isinstance(f, In) and f.attribute == ("name",):
+                self.names = set(f.value) if self.names is None else self.names & set(f.value)
+            else:
+                yield f
+
+
 class FastaWriter(DataSourceWriter):
     def __init__(self, path: str, width: int) -> None:
         self.path, self.width = path, width
