@@ -1 +1,27 @@
-ORACLES: dict[str, str] = {}
+"""SQL for those corpus queries that SQL can express."""
+
+from __future__ import annotations
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents)),
+x AS (SELECT doc_id, p, md5(string_agg(word, ' ') OVER o) AS h, count(*) OVER o AS n FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT doc_id, p FROM x WHERE n = 35 QUALIFY count(*) OVER (PARTITION BY h) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS p FROM r),
+k AS (SELECT w.doc_id, count(*) AS n_words, count(c.p) AS n_removed, sha256(coalesce(string_agg(CASE WHEN c.p IS NULL THEN word END, ' ' ORDER BY w.p), '')) AS kept_sha256 FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = w.p GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)""",
+    "op3_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT doc_id, line, p, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS winner FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, line, p, f.key IS NOT NULL AND k.doc_id <> winner AS lost FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped, sha256(coalesce(string_agg(CASE WHEN NOT lost THEN line END, chr(10) ORDER BY p), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op10_topk": """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+}
