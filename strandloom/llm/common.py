@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,15 +53,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps from task to task: one value, of the operator that ran last.
+_KEPT: dict[str, object] = {}
+
+
+def worker_memory(key: str | None = None, make=None):
+    """The value kept under ``key``, made if there is none; whatever another operator has kept goes.
+    Called without a key at the start of a task, it frees the worker's memory for that task."""
+    if key is None or key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+        if key is not None:
+            _KEPT[key] = make()
+    return _KEPT.get(key) if key is not None else None
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Python workers get at most 2 000 rows at a time: texts can be long, and two workers share an
+    executor's memory. Returns df."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a BIGINT, zero for null; JVM only."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """Cells of a string or binary column as UTF-8 bytes, None for null."""
     if not pa.types.is_binary(column.type) and not pa.types.is_large_binary(column.type):

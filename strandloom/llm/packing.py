@@ -25,68 +25,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import as_bytes, small_batches, stored, worker_memory
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    while n > len(a):
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
 
 
 class ChunkTokens(dict):
     """Ids of a whole text from the ids of its chunks between ASCII white space.
 
-    For tokenizers that drop white space and never merge across it: encoding chunk by chunk gives
-    the ids of the whole text, and every distinct chunk is encoded once. ``pool`` holds their ids.
+    For tokenizers that lower-case, drop white space, never merge across it and cut between a letter
+    or digit and a full stop or comma: encoding chunk by chunk gives the ids of the whole text, and
+    every distinct chunk is encoded once. Maps a chunk to its number; ``pool`` holds all ids, ``starts``
+    and ``sizes`` where. The first LIMIT chunks, which hold all frequent ones, are remembered; later
+    ones are forgotten after each call.
     """
 
-    LIMIT = 900_000
+    LIMIT = 400_000
+    TAIL = b".,"
 
     def __init__(self, path: str) -> None:
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
+        # A sign that is one token by itself stands between chunks that are encoded together.
+        self.mark, self.mark_id = next((c.encode(), self.encode(c.encode())[0]) for c in "^~|`" if len(self.encode(c.encode())) == 1)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.number = 0
+        self.pending: list[bytes] = []
+        self.recent: list[bytes] = []
+        self.tails: dict[bytes, list[int]] = {}
+        self.kept: tuple[int, int] | None = None
 
     def __missing__(self, chunk: bytes) -> int:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        at = self[chunk] = self.number
+        self.number += 1
+        self.pending.append(chunk)
+        return at
+
+    def encode(self, chunk: bytes) -> list[int]:
+        return self.tokenizer.encode_batch_fast([chunk.decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+
+    def keep(self, chunks: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put the ids of some chunks, one after the other, into the pool."""
+        self.pool = _grown(self.pool, self.used + len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
-        self[chunk] = at = len(self.starts)
-        self.starts.append(self.used)
-        self.sizes.append(len(ids))
+        self.starts[chunks], self.sizes[chunks] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += len(ids)
-        return at
+
+    def settle(self) -> None:
+        """Encode what is pending: stems together, then stems with a tail of stops and commas."""
+        whole = []
+        tailed: dict[bytes, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        pending, self.pending = self.pending, []
+        for chunk in pending:
+            stem = chunk.rstrip(self.TAIL)
+            if stem and len(stem) < len(chunk) and (stem[-1:].isalnum() or stem[-1] > 127 and stem.decode("utf-8", "replace").lower()[-1].isalnum()):
+                own, stems = tailed[chunk[len(stem) :]]
+                own.append(self[chunk])
+                stems.append(self[stem])  # a stem not known becomes pending
+            else:
+                whole.append(chunk)
+        self.recent += pending + self.pending
+        whole += self.pending
+        self.pending = []
+        self.starts, self.sizes = _grown(self.starts, self.number), _grown(self.sizes, self.number)
+        plain = [c for c in whole if self.mark not in c and b"<|" not in c]
+        for i in range(0, len(plain), 256):
+            some = plain[i : i + 256]
+            ids = np.array(self.encode(b" %s " % self.mark + (b" %s " % self.mark).join(some)), np.uint32)
+            cuts = np.flatnonzero(ids == self.mark_id)
+            self.keep([self[c] for c in some], ids[ids != self.mark_id], np.diff(np.append(cuts, len(ids))) - 1)
+        for chunk in whole:
+            if self.mark in chunk or b"<|" in chunk:
+                ids = np.array(self.encode(chunk), np.uint32)
+                self.keep([self[chunk]], ids, np.array([len(ids)]))
+        for tail, (own, stems) in tailed.items():
+            if tail not in self.tails:
+                self.tails[tail] = self.encode(tail)
+            extra = self.tails[tail]
+            sizes = self.sizes[stems] + len(extra)
+            ends = np.cumsum(sizes)
+            ids = self.pool[np.minimum(np.repeat(self.starts[stems] - (ends - sizes), sizes) + np.arange(ends[-1]), len(self.pool) - 1)]
+            for j, token in enumerate(extra):
+                ids[ends - len(extra) + j] = token
+            self.keep(own, ids, sizes)
+
+    def trim(self) -> None:
+        if self.kept is not None:
+            for chunk in self.recent:
+                del self[chunk]
+            self.number, self.used = self.kept
+        elif self.number > self.LIMIT:
+            self.kept = self.number, self.used
+        self.recent = []
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Token ids of each text."""
-        chunks = [(t or b"").split() for t in texts]
-        if len(self) > self.LIMIT:
-            self.reset()
+        self.trim()
         out = []
-        for own in chunks:
-            at = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
-            out.append(at)
-        starts, sizes = np.array(self.starts, np.int64), np.array(self.sizes, np.int64)
+        for t in texts:
+            # Lower-casing ASCII beforehand changes nothing but the look of special tokens.
+            own = (t or b"").split() if t and b"<|" in t else (t or b"").lower().split()
+            out.append(np.fromiter(map(self.__getitem__, own), np.int64, len(own)))
+        self.settle()
         for i, at in enumerate(out):
-            n = sizes[at]
+            n = self.sizes[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
-            out[i] = self.pool[np.repeat(starts[at] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32)
+            out[i] = self.pool[np.repeat(self.starts[at] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.uint32)
         return out
 
 
-#: One memory for each tokenizer and Python worker, kept from task to task.
-_MEMORIES: dict[str, ChunkTokens] = {}
-
-
 def chunk_tokens(path: str) -> ChunkTokens:
-    if path not in _MEMORIES:
-        _MEMORIES[path] = ChunkTokens(path)
-    return _MEMORIES[path]
+    """One memory per Python worker, kept from task to task."""
+    return worker_memory(f"tokens of {path}", lambda: ChunkTokens(path))
 
 
 def _piece_lengths(path: str, capacity: int, end_id: int):
@@ -94,8 +152,8 @@ def _piece_lengths(path: str, capacity: int, end_id: int):
         tokens = chunk_tokens(path)
         for batch in batches:
             kind = batch.column(0).type
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
                 cols: list[list] = [[], [], [], [], [], []]
                 for doc, mark, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), tokens.ids(as_bytes(part.column(2))), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
@@ -109,26 +167,28 @@ def _piece_lengths(path: str, capacity: int, end_id: int):
     return run
 
 
-def _best_pattern(values: np.ndarray, sizes: list[int], capacity: int) -> tuple[float, list[int]]:
+def _best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """Most valuable multiset of sizes within the capacity (unbounded knapsack)."""
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for room in range(1, capacity + 1):
         best[room] = best[room - 1]
-        for j, s in enumerate(sizes):
-            if s <= room and best[room - s] + values[j] > best[room] + 1e-12:
-                best[room], last[room] = best[room - s] + values[j], j
+        fits = np.flatnonzero(sizes <= room)
+        if len(fits):
+            worth = best[room - sizes[fits]] + values[fits]
+            j = int(np.argmax(worth))
+            if worth[j] > best[room] + 1e-12:
+                best[room], last[room] = worth[j], fits[j]
     counts, room = [0] * len(sizes), capacity
     while room > 0:
         if last[room] < 0:
             room -= 1
         else:
             counts[last[room]] += 1
-            room -= sizes[last[room]]
+            room -= int(sizes[last[room]])
     return float(best[capacity]), counts
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 60) -> list[tuple[list[int], int]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[list[int], int]]:
     """Patterns over few sizes with their whole multiplicities: the linear program over all
     configurations, solved by column generation and rounded down."""
     k = len(sizes)
@@ -138,8 +198,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     basis = np.array(columns, float).T
     x = np.linalg.solve(basis, np.array(demand, float))
     unit = max(1, capacity // 512)
-    coarse = [-(-s // unit) for s in sizes]  # rounded up: any coarse pattern fits
-    for _ in range(rounds):
+    coarse = np.array([-(-s // unit) for s in sizes])  # rounded up: any coarse pattern fits
+    for _ in range(20 + 4 * k):
         duals = np.linalg.solve(basis.T, np.ones(k))
         value, column = _best_pattern(duals, coarse, capacity // unit)
         if value <= 1 + 1e-9:
@@ -253,6 +313,10 @@ def plan(histogram: dict[int, int], capacity: int, *, small: int | None = None,
     return runs
 
 
+def sequences(runs: list[tuple[int, int, int, int, int]]) -> int:
+    return max((first + hi - lo for _, lo, hi, first, _ in runs), default=0)
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = 4096, end_id: int = 1, buckets: int = 64, small: int | None = None, groups: int = 24) -> DataFrame:
     """Pack the token pieces of all rows into few sequences of at most ``capacity`` tokens.
 
@@ -262,7 +326,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     are cut. Repeated rows are packed as often as they occur; null ids are packed like others; an
     empty table gives no sequence.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     text = F.col(text_col).cast("binary")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
@@ -277,7 +341,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     for length, b, n in found:
         before.append((length, b, histogram[length]))
         histogram[length] += n
-    placed = plan(histogram, capacity, small=small, groups=groups)
+    placed = min((plan(histogram, capacity, small=small, groups=g) for g in (groups, 4 * groups)), key=sequences)
     offsets = spark.createDataFrame(before, "length bigint, bucket int, before bigint")
     own = Window.partitionBy("length", "bucket").orderBy("id", "mark", "piece")
     ranked = pieces.withColumn("rank", F.row_number().over(own) - 1).join(F.broadcast(offsets), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
