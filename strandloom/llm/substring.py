@@ -5,8 +5,8 @@
 2. Symbols of at least ``window`` words are shared or not by an exact check of their content: all
    words of a shared symbol are removed, so copies of whole documents ask for no windows.
 3. Windows that cover a word still open and whose anchor passes the filter ask whether they repeat.
-   A second filter holds what is asked; whatever window of the corpus passes both filters bears
-   witness, and asks and witnesses meet in an exact check by the 128-bit hash of their words.
+   A second filter holds a rolling hash of what is asked; windows of the corpus that pass it bear
+   witness, and asks and witnesses meet in an exact check by 128 bits of two hashes of their words.
 
 Scale: the rounds need no exchange, as names are functions of content. Anchors shuffle as one number,
 long symbols as one row for 60 words, and windows only near the ends of repeats. What a batch sees
@@ -29,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import as_bytes, mixed, stored, word_hashes
-from .recompression import parse
+from .common import as_bytes, mixed, small_batches, stored, word_hashes
+from .recompression import parse, window_starts
 
 SLICES = 1024
+PLACES = (0, 21, 42)
 PART = 400  # documents parsed together
+#: An odd factor and its inverse modulo 2 ** 64.
+_STEP = np.uint64(0x9FB21C651E98DF25)
+_BACK = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
 ROWS = "h1 bigint, h2 bigint, n int, k1 bigint, k2 bigint, lo int, hi int"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
@@ -50,13 +54,18 @@ def _parts(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
         i = j
 
 
+def _short(names: np.ndarray) -> np.ndarray:
+    """48 bits of a name: a filter needs no more, and less is sent."""
+    return names >> np.uint64(16)
+
+
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for _, words, sizes in _parts(as_bytes(batch.column(0))):
-                p = parse(words, sizes, window, nodes=False)
-                found.append(p.anchor[p.fresh])
+                p = parse(words, sizes, window, window_starts(sizes, window), nodes=False)
+                found.append(_short(p.anchor[p.fresh]))
             names, n = np.unique(np.concatenate(found), return_counts=True)
             # Twice where the batch has it more than once: no count needs to be sent.
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names, names[n > 1]]).view(np.int64))], ["name"])
@@ -68,7 +77,7 @@ def _places(names: np.ndarray, bits: int) -> np.ndarray:
     """Three places of each name within its slice of the filter."""
     size = np.uint64((1 << bits) // SLICES)
     x = mixed(names)
-    return np.stack([(x >> np.uint64(s)) % size for s in (0, 21, 42)], axis=1).astype(np.int64)
+    return np.stack([(x >> np.uint64(s)) % size for s in PLACES], axis=1).astype(np.int64)
 
 
 def _filter_slices(bits: int):
@@ -106,12 +115,35 @@ def _filter(names: DataFrame, bits: int):
 
 
 def _passes(filter_bits: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
+    """Which names may be in the filter; most are settled by the first of their places."""
     size = (1 << bits) // SLICES
-    at = _places(names, bits) + ((names % np.uint64(SLICES)).astype(np.int64) * size)[:, None]
-    return ((filter_bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+    left = np.arange(len(names))
+    mixed_names = mixed(names)
+    base = (names % np.uint64(SLICES)).astype(np.int64) * size
+    for shift in PLACES:
+        at = base[left] + ((mixed_names[left] >> np.uint64(shift)) % np.uint64(size)).astype(np.int64)
+        left = left[((filter_bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(np.bool_)]
+    return left
+
+
+def _rolling(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """A 64-bit hash of each window, from running sums: constant work per window."""
+    powers = np.full(len(words) + 1, _STEP)
+    powers[0] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)))
+    back = np.full(len(words) + 1, _BACK)
+    back[0] = 1
+    return mixed((sums[at + window] - sums[at]) * np.cumprod(back, dtype=np.uint64)[at])
 
 
 def _digests(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """64-bit hashes of word stretches."""
+    data, digest = memoryview(words.tobytes()), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo)).view(np.int64)
+
+
+def _long_digests(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """128-bit hashes of word stretches, as an array of shape (n, 2)."""
     data, digest = memoryview(words.tobytes()), xxhash.xxh3_128_digest
     return np.frombuffer(b"".join([digest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.int64).reshape(-1, 2)
@@ -154,11 +186,11 @@ def _long_symbols(window: int):
             keys = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], axis=1)
             found: list[tuple[np.ndarray, ...]] = []
             for i, words, sizes in _parts(as_bytes(batch.column(2))):
-                p = parse(words, sizes, window, anchors=False)
+                p = parse(words, sizes, window)
                 ends = np.cumsum(sizes)
                 doc = np.searchsorted(ends, p.node_start, side="right")
                 base = ends[doc] - sizes[doc]
-                found.append((_digests(words, p.node_start, p.node_end), keys[i + doc], p.node_start - base, p.node_end - base))
+                found.append((_long_digests(words, p.node_start, p.node_end), keys[i + doc], p.node_start - base, p.node_end - base))
             if found:
                 yield from _settled(1, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
@@ -176,8 +208,8 @@ def _open_windows(window: int, bits: int, shared):
             spans = batch.column("spans").to_pylist()
             found: list[tuple[np.ndarray, ...]] = []
             for i, words, sizes in _parts(_unpacked(batch.column("packed"))):
-                p = parse(words, sizes, window, nodes=False)
-                if not len(p.at):
+                at = window_starts(sizes, window)
+                if not len(at):
                     continue
                 ends = np.cumsum(sizes)
                 begins = ends - sizes
@@ -187,29 +219,29 @@ def _open_windows(window: int, bits: int, shared):
                     for s in own or ():
                         is_open[begins[j] + s["lo"] + 1 : begins[j] + s["hi"] + 1] = 0
                 before = np.cumsum(is_open)
-                left = np.flatnonzero(before[p.at + window] > before[p.at])
-                left = left[_passes(filter_bits, p.anchor[left], bits)]
-                at = p.at[left]
+                at = at[before[at + window] > before[at]]
+                at = at[_passes(filter_bits, _short(parse(words, sizes, window, at, nodes=False).anchor), bits)]
                 doc = np.searchsorted(ends, at, side="right")
-                found.append((_digests(words, at, at + window), keys[i + doc], at - begins[doc], at - begins[doc] + window))
+                hashes = np.stack([_rolling(words, at, window).view(np.int64), _digests(words, at, at + window)], axis=1)
+                found.append((hashes, keys[i + doc], at - begins[doc], at - begins[doc] + window))
             if found:
                 yield from _settled(0, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return run
 
 
-def _witnesses(window: int, bits: int, shared, asked):
-    """Every window of the corpus that passes both filters, without its document."""
+def _witnesses(window: int, bits: int, asked):
+    """Every window of the corpus that may be asked for, without its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_bits, asked_bits = shared.value, asked.value
+        asked_bits = asked.value
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for _, words, sizes in _parts(as_bytes(batch.column(0))):
-                p = parse(words, sizes, window, nodes=False)
-                at = p.at[_passes(filter_bits, p.anchor, bits)]
-                hashes = _digests(words, at, at + window)
-                found.append(hashes[_passes(asked_bits, np.ascontiguousarray(hashes[:, 0]).view(np.uint64), bits)])
+                at = window_starts(sizes, window)
+                rolling = _rolling(words, at, window)
+                hit = _passes(asked_bits, rolling, bits)
+                found.append(np.stack([rolling[hit].view(np.int64), _digests(words, at[hit], at[hit] + window)], axis=1))
             every = np.concatenate(found)
             order = np.lexsort((every[:, 1], every[:, 0]))
             h = every[order]
@@ -281,6 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other; ids may be null; an empty table gives an empty result.
     """
     text = F.col(text_col).cast("binary")
+    docs = small_batches(docs)
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("k1"), F.xxhash64(text, F.col(id_col), F.lit(2)).alias("k2"))
 
     names = docs.select(text).mapInArrow(_anchors(window), "name bigint")
@@ -291,7 +324,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asks = _with_spans(dealt, symbols).mapInArrow(_open_windows(window, filter_bits, shared), ROWS)
     asks = stored(asks, "asked-windows")
     asked = _filter(asks.where("k1 is not null and n = 0").select("h1"), filter_bits)
-    spans = _checked(asks.unionByName(docs.select(text).mapInArrow(_witnesses(window, filter_bits, shared, asked), ROWS)))
+    spans = _checked(asks.unionByName(docs.select(text).mapInArrow(_witnesses(window, filter_bits, asked), ROWS)))
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept_text:string>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
