@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import DNA, PROTEIN, number_word, word_number
 from ..operators import edit, frontier, kmers, predict, repeats, search, sequences, suffix
 from ..operators.ranking import kept
+from .index import SequenceIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -276,6 +277,14 @@ def track_positions(spark, sf_dir):
     return frontier.track(sa, parents).select("parent", "letter", F.col("kid_index").cast("bigint").alias("kid_index"), F.col("index").cast("bigint").alias("index"))
 
 
+@query(f"WITH {SA}, {_grams('g3', 'bench', 3)}, {_grams('g4', 'bench', 4)}, w3 AS ({_intervals(3)}), w4 AS ({_intervals(4)}) SELECT w4.word AS kid, w3.word AS parent FROM w4 JOIN w3 USING (lo, width)")
+def identical_kids(spark, sf_dir):
+    """Words of four letters whose rows are those of a word of three."""
+    sa, seqs = index(spark, sf_dir)
+    parents = kept(suffix.word_intervals(sa, seqs, [3]), "parents")
+    return frontier.identical_kids(parents, suffix.extend_backward(sa, parents, DNA))
+
+
 # --- search ---------------------------------------------------------------------------------------
 SEED = 24
 
@@ -325,6 +334,18 @@ def greedy_matches(spark, sf_dir):
     return search.greedy_matches(benchmark(spark, sf_dir), documents(spark, sf_dir), SEED, 4)
 
 
+def _reversed_matches(seed: int) -> str:
+    return _matches("rev", "bench", seed).replace(f"{BENCH}, ", f"{BENCH}, rev AS (SELECT sid, reverse(s) AS s FROM bench), ", 1)
+
+
+@query(f"""WITH {_reversed_matches(8)}, {SA.split(', r0 AS', 1)[1].join(['r0 AS', ''])}
+  SELECT qid, qi, ql, min(row) AS lo, count(*) AS width FROM mx JOIN runs USING (qid, qi, qe) JOIN sa ON sa.sid = runs.sid AND sa.pos = runs.tpos GROUP BY qid, qi, ql""")
+def indexed_matches(spark, sf_dir):
+    """Reversed passages searched in an index of the passages, with the rows where the matches start."""
+    seqs = benchmark(spark, sf_dir)
+    return SequenceIndex.build(seqs, DNA).max_matches(sequences.reversed_set(seqs), 8)
+
+
 # --- prediction -----------------------------------------------------------------------------------
 def _counts(corpus: str, k: int, markov: bool) -> str:
     size = k + 1 if markov else 2 * k + 1
@@ -448,6 +469,20 @@ def exact_repeats_all(spark, sf_dir):
     return repeats.exact_repeats(both, DNA, MINLEN, MAXLEN, OFTEN, FRAC, printall=True).select("word", "strand", "length", "is_substring")
 
 
+@query(f"""WITH {_repeat_levels()}, p AS (SELECT *, row_number() OVER (ORDER BY {ENC.format('word')}, strand) AS n FROM fl WHERE NOT is_substring)
+  SELECT n, '>Repeat' || n || ' strand=' || strand || ' length=' || length || ' nseq=' || nseq || printf(' frac=%.6f', frac) || chr(10) || word AS line FROM p""")
+def repeat_fasta(spark, sf_dir):
+    both = kept(sequences.with_revcomp(documents(spark, sf_dir), DNA), "both")
+    return repeats.repeat_fasta(repeats.exact_repeats(both, DNA, MINLEN, MAXLEN, OFTEN, FRAC))
+
+
+@query(f"WITH {BENCH} SELECT '>' || name || chr(10) || array_to_string([substr(s, 1 + 70 * i, 70) FOR i IN range(greatest(1, (length(s) + 69) // 70))], chr(10)) AS value FROM bench")
+def fasta_lines(spark, sf_dir):
+    from ..sources.fasta import fasta_lines as lines
+
+    return lines(benchmark(spark, sf_dir), 70)
+
+
 # --- editing --------------------------------------------------------------------------------------
 BED = """bed AS (SELECT CAST(item_id AS VARCHAR) AS name, CAST(item_id % 7 + k * 40 AS BIGINT) AS "start", CAST(item_id % 7 + k * 40 + 5 + item_id % 11 AS BIGINT) AS "end" FROM benchmark, (SELECT unnest(range(3)) AS k) WHERE item_id % 5 <> 4)"""
 

@@ -213,3 +213,25 @@ def test_frontier(spark, sa, corpus):
 def test_row_dump(sa, corpus):
     line = {r["row"]: r["line"] for r in suffix.row_dump(sa, corpus, 4, 3).collect()}[4]
     assert line == "         4         4         8 *AAC C ACGT*"
+
+
+def test_programs(spark, corpus):
+    from strandloom.plans import programs
+
+    index = programs.build(corpus, "DNA/w")
+    assert programs.inspect_word(index, "acgt") == (4, 3)
+    assert programs.inspect_word(index, "GGG") == (0, 0)
+    assert programs.inspect_word_rows(index, "T").count() == 4 and programs.inspect_word_rows(index, "GGG").count() == 0
+    assert programs.inspect_forward(index, 12) == "GT*" and programs.inspect_forward(index, 99) is None
+    assert {r["value"] for r in programs.inspect_sequences(index, -1).collect()} == {"s1 ACGTACGTTN", "s2 AACCACGT"}
+    assert {tuple(r) for r in programs.inspect_names(index).collect()} == {(0, 8, 1, "s2"), (1, 10, 0, "s1")}
+    qs = table(spark, [("a", "acgtaccacg")])
+    assert {r["line"] for r in programs.find(index, qs, 3, lines=True).collect()} == {"s2 pos:1 qi:4 ql:6", "s1 pos:0 qi:0 ql:6"}
+    with pytest.raises(ValueError):
+        programs.mine_repeats(index)
+    sites = programs.predict(corpus, kmin=1, kmax=2, alpha=1.0, name="s2")
+    assert sites.count() == 4
+    assert programs.predict_words(sites, 2).count() == 16
+    with pytest.raises(ValueError):
+        programs.edit(corpus, new_char="N")
+    assert programs.edit(corpus, revcomp=True).count() == 2
