@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import as_bytes, small_batches, stored, worker_memory
 
 WORDS = re.compile(r"[^\W\d_]+")
 ORDERS = (4, 3, 2, 1)
@@ -54,16 +54,16 @@ class LanguageModel:
                 found = tuple(table[g] for g in grams(word, n) if g in table)
                 if found:
                     break
-            if len(self.memory) > 200_000:
+            if len(self.memory) > 100_000:
                 self.memory.clear()
             self.memory[word] = found
         return found
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         counts = Counter(WORDS.findall((text or b"").decode("utf-8", "replace").lower()))
-        if not counts or not self.languages:
-            letters = any(c.isalpha() for c in (text or b"").decode("utf-8", "replace"))
-            return ("und", 0.0) if not letters or not self.languages else (self.languages[0], 1 / len(self.languages))
+        # Numerals such as superscripts are words to the pattern but no letters.
+        if not self.languages or not any(c.isalpha() for word in counts for c in word):
+            return "und", 0.0
         at, weight = [], []
         for word, n in counts.items():
             found = self.rows(word)
@@ -79,6 +79,7 @@ class LanguageModel:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(kind, item, lang, n): kind 0 is a word, others are the order of an n-gram."""
+    worker_memory()
     for batch in batches:
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -101,7 +102,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     twice and the ``max_grams`` most frequent n-grams of each order are kept. Without any labelled row
     the model knows no language and predicts ``und``.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = small_batches(labelled).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     n = rows.count()
     if n > max_docs:
         rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
@@ -135,16 +136,18 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     share of the likelihood (0 to 1). Texts of which nothing is known score evenly. Repeated rows get
     equal predictions.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(texts: pa.Array) -> pa.Array:
+        worker_memory()
         model = shared.value
         found = [model.predict(t) for t in as_bytes(texts)]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
     names = ("lang_pred", "score")
-    out = docs.withColumn("__lang", predict(F.col(text_col).cast("binary")))
+    # Nondeterministic to the optimizer, which else evaluates it again in every filter on its result.
+    out = docs.withColumn("__lang", predict.asNondeterministic()(F.col(text_col).cast("binary")))
     return out.select(*[docs[c] for c in docs.columns if c not in names], *[F.col(f"__lang.{c}").alias(c) for c in names])
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, stored
+from .common import SPACE, as_bytes, small_batches, stored, worker_memory
 
 SLICES = 64
 ROWS = 500  # rows of a batch that are held as Python objects at a time
@@ -63,6 +63,7 @@ def _seen_slices(min_chars: int, bits: int):
     part = (1 << bits) // SLICES // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         once, twice = np.zeros((1 << bits) // 8, np.uint8), np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
@@ -110,6 +111,7 @@ def _suspects(min_chars: int, bits: int, filter_cells):
     part = (1 << bits) // SLICES // 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         twice = np.zeros((1 << bits) // 8, np.uint8)
         for i, cell in filter_cells.value.items():
             twice[i * part : (i + 1) * part] = np.frombuffer(cell, np.uint8)
@@ -141,7 +143,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id is below all others and keeps lines only if all holders are null; an empty table gives
     an empty result.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     text = F.col(text_col).cast("binary").alias("text")
     slices = docs.select(text).mapInArrow(_seen_slices(min_chars, filter_bits), "slice int, kind int, bits binary")
     merged = slices.repartition("slice").mapInArrow(_merged_slices, "slice int, bits binary")
@@ -156,6 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,kept_text:string>")
     def cut(texts: pa.Array, lost: pa.Array) -> pa.Array:
+        worker_memory()
         n_lines, n_dropped, kept = [], [], []
         for text, gone in ((t, g) for lo in range(0, len(texts), ROWS) for t, g in zip(as_bytes(texts.slice(lo, ROWS)), lost.slice(lo, ROWS).to_pylist(), strict=True)):
             lines = (text or b"").split(b"\n")
@@ -171,6 +174,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept_text"])
 
     joined = docs.join(lost, docs[id_col].eqNullSafe(F.col("__lost_id")), "left")
-    out = joined.withColumn("__cut", cut(F.col(text_col).cast("binary"), F.col("__lost")))
+    out = joined.withColumn("__cut", cut.asNondeterministic()(F.col(text_col).cast("binary"), F.col("__lost")))
     names = ("n_lines", "n_dropped", "kept_text")
     return out.select(*[docs[c] for c in docs.columns if c not in names], *[F.col(f"__cut.{c}").alias(c) for c in names])

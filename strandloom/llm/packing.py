@@ -362,5 +362,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             sequence[here], offset[here] = ranks[here] + shift[at], off[at]
         return pa.StructArray.from_arrays([pa.array(sequence), pa.array(offset)], ["sequence_id", "offset"])
 
-    out = ranked.withColumn("at", place("length", "rank"))
+    out = ranked.withColumn("at", place.asNondeterministic()("length", "rank"))
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -84,5 +86,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sco
                 every.append(written(found + linked_spans(text or "", found, scope)) if found else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], ["id", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string")
+    out = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string")
     return out.withColumnRenamed("id", id_col)

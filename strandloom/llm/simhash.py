@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stored
+from .common import as_bytes, small_batches, stored, worker_memory
 from .components import components, runs
 
 
@@ -49,6 +49,7 @@ def simhash(text: bytes | None, size: int = 4) -> int:
 def fingerprint_column(size: int):
     @F.arrow_udf("bigint")
     def fingerprint(texts: pa.Array) -> pa.Array:
+        worker_memory()
         return pa.array(np.array([simhash(t, size) for t in as_bytes(texts)], np.uint64).view(np.int64), pa.int64())
 
     return fingerprint
@@ -101,6 +102,7 @@ def _links(distance: int):
         return left, right
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory()
         held: list[np.ndarray] = []
 
         def flush(keys: np.ndarray) -> pa.RecordBatch:
@@ -148,7 +150,7 @@ def close_links(prints: DataFrame, distance: int = 4, group_rows: int = 4096) ->
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, group_rows: int) -> DataFrame:
     """(id, mark, print, root, component_id) for each row; mark is a hash of the text."""
     text = F.col(text_col).cast("binary")
-    prints = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_column(shingle)(text).alias("print")), "prints")
+    prints = stored(small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_column(shingle)(text).alias("print")), "prints")
     distinct = stored(prints.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
     roots = components(close_links(distinct.select("print"), distance, group_rows))
     named = distinct.join(roots.withColumnRenamed("v", "print"), "print", "left").select("print", "least", F.coalesce("m", "print").alias("root"))

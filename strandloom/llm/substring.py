@@ -341,5 +341,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b" ".join(words))
         return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept_text"])
 
-    out = _with_spans(dealt, symbols.unionByName(spans)).withColumn("cut", cut("packed", "spans"))
+    out = _with_spans(dealt, symbols.unionByName(spans)).withColumn("cut", cut.asNondeterministic()("packed", "spans"))
     return out.select(F.col("id").alias(id_col), "cut.n_words", "cut.n_removed", "cut.kept_text")

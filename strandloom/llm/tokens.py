@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 RULES = ("start", "majority", "split")
 _ENCODINGS: dict = {}
 
@@ -90,5 +92,5 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
                 counts.append(attribute(ends, borders, rule) if len(borders) else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(sections, pa.int64()), pa.array(counts, pa.list_(pa.float64()))], ["id", "n_tokens", "n_sections", "section_tokens"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens bigint, n_sections bigint, section_tokens array<double>")
+    out = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens bigint, n_sections bigint, section_tokens array<double>")
     return out.withColumnRenamed("id", id_col)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LEVELS = (1, 4, 16)
 
 
@@ -92,7 +94,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_co
     Repeated rows are candidates of their own. Scores are exact while sums stay below 2^53. Empty
     tables give no rows.
     """
-    spark = vectors.sparkSession
+    spark = small_batches(vectors).sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where("id is not null")
     blocks = max(1, -(-asked.count() // block))
