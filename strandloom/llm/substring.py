@@ -6,7 +6,7 @@
    words of a shared symbol are removed, so copies of whole documents ask for no windows.
 3. Windows that cover a word still open and whose anchor passes the filter ask whether they repeat.
    A second filter holds a rolling hash of what is asked; windows of the corpus that pass it bear
-   witness, and asks and witnesses meet in an exact check by 128 bits of two hashes of their words.
+   witness, and asks and witnesses meet in an exact check by 96 bits of two hashes of their words.
 
 Scale: the rounds need no exchange, as names are functions of content. Anchors shuffle as one number,
 long symbols as one row for 60 words, and windows only near the ends of repeats. What a batch sees
@@ -38,7 +38,7 @@ PART = 400  # documents parsed together
 #: An odd factor and its inverse modulo 2 ** 64.
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _BACK = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
-ROWS = "h1 bigint, h2 bigint, n int, k1 bigint, k2 bigint, lo int, hi int"
+ROWS = "h1 bigint, h2 int, n int, k1 bigint, k2 bigint, lo int, hi int"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 
@@ -138,22 +138,23 @@ def _rolling(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
 
 
 def _digests(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """64-bit hashes of word stretches."""
-    data, digest = memoryview(words.tobytes()), xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo)).view(np.int64)
+    """32-bit hashes of word stretches, besides the 64 bits of the rolling hash."""
+    data, digest = memoryview(words.tobytes()), xxhash.xxh32_intdigest
+    return np.fromiter((digest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint32, len(lo)).view(np.int32).astype(np.int64)
 
 
 def _long_digests(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """128-bit hashes of word stretches, as an array of shape (n, 2)."""
+    """64 and 32 bits of a hash of word stretches, as an array of shape (n, 2)."""
     data, digest = memoryview(words.tobytes()), xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    both = np.frombuffer(b"".join([digest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+    return np.stack([both[:, 0], both[:, 1].astype(np.int32).astype(np.int64)], axis=1)
 
 
 def _rows(hashes: np.ndarray, n: np.ndarray, keys: np.ndarray | None, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     none = keys is None
     k = [pa.nulls(len(hashes), pa.int64())] * 2 if none else [pa.array(keys[:, 0]), pa.array(keys[:, 1])]
     at = [pa.nulls(len(hashes), pa.int32())] * 2 if none else [pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(np.ascontiguousarray(hashes[:, 1])), pa.array(n.astype(np.int32)), *k, *at], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(hashes[:, 1].astype(np.int32)), pa.array(n.astype(np.int32)), *k, *at], NAMES)
 
 
 def _settled(single: int, hashes: np.ndarray, keys: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def _witnesses(window: int, bits: int, asked):
 
 @F.arrow_udf(BinaryType())
 def _packed(texts: pa.Array) -> pa.Array:
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     return pa.array([None if t is None else pack(t) for t in as_bytes(texts)], pa.binary())
 
 
