@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
 
 
-def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sid",)) -> DataFrame:
-    """(keep..., pos, word): every window of k letters, pos from 0. Letters are ASCII, so the text is
-    cut as bytes: constant work per window."""
-    data = F.col("s").cast("binary")
-    words = F.transform(F.sequence(F.lit(0), F.octet_length("s") - k), lambda p: F.substring(data, p + 1, F.lit(k)).cast("string"))
-    return seqs.where(F.octet_length("s") >= k).select(*keep, F.posexplode(words).alias("pos", "word"))
+STEP = 1 << 15  # letters of a sequence that are cut into windows at a time
+
+
+def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sid",), *, text: str = "s", before: int = 0, short: bool = False) -> DataFrame:
+    """(keep..., pos, word): every window of k letters, pos from 0; with ``before`` also ``left``, the
+    up to so many letters in front of it; with ``short`` also the shorter windows at the end.
+
+    Letters are ASCII, so the text is cut as bytes: constant work per window. A long sequence is first
+    cut into overlapping stretches of STEP windows, so no row holds all windows of a sequence.
+    """
+    last = F.octet_length(text) - (1 if short else k)
+
+    def stretch(a: Column) -> Column:
+        b = F.greatest(a - before, F.lit(0))
+        return F.struct(a.alias("at"), (a - b).alias("off"), F.substring(F.col(text).cast("binary"), b + 1, a - b + STEP + k - 1).alias("data"))
+
+    rows = seqs.where(last >= 0).select(*keep, F.explode(F.transform(F.sequence(F.lit(0), last, F.lit(STEP)), stretch)).alias("c"))
+    data, off = F.col("c.data"), F.col("c.off")
+    n = F.least(F.lit(STEP), F.octet_length(data) - off - (0 if short else k - 1))
+
+    def window(p: Column) -> Column:
+        word = F.substring(data, off + p + 1, F.lit(k)).cast("string")
+        left = F.substring(data, F.greatest(off + p - before, F.lit(0)) + 1, F.least(off + p, F.lit(before))).cast("string")
+        return F.struct(word.alias("word"), left.alias("left")) if before else F.struct(word.alias("word"))
+
+    rows = rows.select(*keep, F.col("c.at").alias("at"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("p", "w"))
+    return rows.select(*keep, (F.col("at") + F.col("p")).alias("pos"), "w.word", *(["w.left"] if before else []))
 
 
 def acgt(word: Column) -> Column:
@@ -50,14 +71,10 @@ def nucleotide_kids(seqs: DataFrame, k: int, complement: bool = False) -> DataFr
 def bucket_histogram(seqs: DataFrame, alphabet: Alphabet, prefix: int = 0) -> DataFrame:
     """(bucket, n, start): suffixes by their first letters (shorter near an end), with the first row
     of each bucket after the terminators. One row per bucket: at most letters ** prefix."""
-    from pyspark.sql import Window
-
     w = prefix or alphabet.default_prefix()
     if (len(alphabet.letters) + 1) ** w > 1_000_000:
         raise ValueError("more than a million buckets")
-    data = F.col("s").cast("binary")
-    heads = F.transform(F.sequence(F.lit(0), F.octet_length("s") - 1), lambda p: F.substring(data, p + 1, F.lit(w)).cast("string"))
-    counts = seqs.where("s <> ''").select(F.explode(heads).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = windows(seqs, w, (), short=True).groupBy(F.col("word").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy(alphabet.encode(F.col("bucket"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     nseq = seqs.agg(F.count(F.lit(1)).alias("nseq"))
     return counts.withColumn("before", before).crossJoin(F.broadcast(nseq)).select("bucket", "n", (F.col("before") + F.col("nseq")).alias("start"))

@@ -1,8 +1,9 @@
 """Frequent words with diverse neighbours (exact repeats).
 
-Words grow to the left, level by level. A level is a table of occurrences; words that are rare are
-dropped, words with one dominant left letter go on, and the others are recorded. The occurrences of the
-next level are those of the words that go on, so each level is a semi-join of the one before.
+Words grow to the left, level by level. A level is a table of occurrences with the letters in front of
+them; words that are rare are dropped, words with one dominant left letter go on, and the others are
+recorded. The occurrences of the next level are those of the words that go on, so each level is a
+semi-join of the one before.
 """
 
 from __future__ import annotations
@@ -19,16 +20,14 @@ def repeat_words(seqs: DataFrame, minlen: int = 25, maxlen: int = 45, min_interv
     """(word, length, nseq, frac) of recorded words; ``seqs`` should hold both strands."""
     if not (10 <= minlen <= 50 and minlen <= maxlen <= 100):
         raise ValueError("10 <= minlen <= 50 and minlen <= maxlen <= 100 are needed")
-    letters = seqs.select("sid", F.col("s").cast("binary").alias("data"))
-    at = windows(seqs, minlen).select("sid", "pos", "word")
+    at = windows(seqs, minlen, (), before=maxlen + 2 - minlen).select("word", "left")
     found = None
     for d in range(minlen, maxlen + 2):
-        left = F.when(F.col("pos") > 0, F.substring(F.col("data"), F.col("pos"), F.lit(1)).cast("string"))
-        # Rare words go before any text is looked at.
+        # Rare words go first; an occurrence carries the letters it can still grow by, so no level
+        # looks at a sequence again.
         often = at.groupBy("word").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") >= min_interval)
-        at = at.join(often.select("word"), "word", "left_semi")
-        level = kept(at.join(letters, "sid").select("sid", "pos", "word", left.alias("left")), "level")
-        counts = level.where("left is not null").groupBy("word", "left").agg(F.count(F.lit(1)).alias("n"))
+        level = kept(at.join(often.select("word"), "word", "left_semi").where("left <> ''").select("word", "left", F.substring("left", -1, 1).alias("c")), "level")
+        counts = level.groupBy("word", "c").agg(F.count(F.lit(1)).alias("n"))
         words = counts.groupBy("word").agg(F.sum("n").alias("nseq"), F.max("n").alias("top")).where(F.col("nseq") >= min_interval)
         words = kept(words.withColumn("frac", F.col("top") / F.col("nseq")), "words")
         record = words.where(F.col("frac") < maxfrac).select("word", F.lit(d).cast("bigint").alias("length"), "nseq", "frac")
@@ -36,7 +35,7 @@ def repeat_words(seqs: DataFrame, minlen: int = 25, maxlen: int = 45, min_interv
         on = words.where(F.col("frac") >= maxfrac).select("word")
         if d == maxlen + 1 or not on.limit(1).count():
             break
-        at = level.where("left is not null").join(on, "word", "left_semi").select("sid", (F.col("pos") - 1).alias("pos"), F.concat("left", "word").alias("word"))
+        at = level.join(on, "word", "left_semi").select(F.concat("c", "word").alias("word"), F.expr("substring(left, 1, length(left) - 1)").alias("left"))
     return found
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import TERMINATOR, Alphabet
+from .kmers import windows
 from .ranking import kept, ranked
 from .sequences import sequence_ranks
 
@@ -23,9 +24,8 @@ BLOCK = 1 << 16  # rows between two checkpoints
 
 def suffix_ranks(ranks: DataFrame, alphabet: Alphabet, first: int = FIRST) -> DataFrame:
     """(sid, pos, rank): 0-based ranks of all non-empty suffixes. ``ranks``: output of sequence_ranks."""
-    data = alphabet.encode(F.col("s")).cast("binary")
-    heads = F.transform(F.sequence(F.lit(0), F.octet_length("s") - 1), lambda p: F.substring(data, p + 1, F.lit(first)).cast("string"))
-    rows = ranks.where("s <> ''").select("sid", "term_order", F.octet_length("s").alias("len"), F.posexplode(heads).alias("pos", "head"))
+    rows = windows(ranks.withColumn("enc", alphabet.encode(F.col("s"))).withColumn("len", F.octet_length("s")), first, ("sid", "term_order", "len"), text="enc", short=True)
+    rows = rows.withColumnRenamed("word", "head")
     # A head that reaches the terminator is followed by the terminator's order, others by none.
     rows = rows.withColumn("end", F.when(F.col("pos") + first >= F.col("len"), F.col("term_order")).otherwise(F.lit(-1)))
     rows = kept(ranked(rows, ["head", "end"], "rank").select("sid", "term_order", "len", "pos", "rank"), "suffixes")
@@ -44,8 +44,10 @@ def suffix_table(seqs: DataFrame, alphabet: Alphabet, revsort: bool = False) ->
     ranks = kept(sequence_ranks(seqs, alphabet, revsort), "ranks")
     order = suffix_ranks(ranks, alphabet)
     nseq = ranks.agg(F.count(F.lit(1)).alias("nseq"))
-    data = F.col("s").cast("binary")
-    letters = ranks.where("s <> ''").select("sid", "srank", F.posexplode(F.transform(F.sequence(F.lit(0), F.octet_length("s") - 1), lambda p: F.when(p == 0, F.lit(TERMINATOR)).otherwise(F.substring(data, p, F.lit(1)).cast("string")))).alias("pos", "bwt"))
+    sized = ranks.withColumn("len", F.octet_length("s"))
+    inner = windows(sized, 1, ("sid", "srank", "len")).select("sid", "srank", (F.col("pos") + 1).alias("pos"), "len", F.col("word").alias("bwt")).where("pos < len").drop("len")
+    heads = ranks.where("s <> ''").select("sid", "srank", F.lit(0).alias("pos"), F.lit(TERMINATOR).alias("bwt"))
+    letters = inner.unionByName(heads)
     body = order.join(letters, ["sid", "pos"]).crossJoin(F.broadcast(nseq)).select((F.col("rank") + F.col("nseq")).alias("row"), "sid", "srank", "pos", "bwt")
     ends = ranks.select(F.col("term_order").alias("row"), "sid", "srank", F.length("s").cast("bigint").alias("pos"), F.when(F.col("s") == "", F.lit(TERMINATOR)).otherwise(F.substring("s", -1, 1)).alias("bwt"))
     return with_lf(kept(ends.unionByName(body), "rows"), alphabet)
@@ -119,8 +121,6 @@ def initial_intervals(sa: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def word_intervals(sa: DataFrame, seqs: DataFrame, lengths: list[int]) -> DataFrame:
     """(word, lo, width) of all words of the given lengths: the rows that start with each."""
-    from .kmers import windows
-
     out = None
     for k in lengths:
         words = windows(seqs, k).join(sa.select("sid", "pos", "row"), ["sid", "pos"]).groupBy("word").agg(F.min("row").alias("lo"), F.count(F.lit(1)).alias("width"))
@@ -135,8 +135,6 @@ def lookup(sa: DataFrame, seqs: DataFrame, words: DataFrame) -> DataFrame:
     asked = words.select("word").distinct()
     if not lengths:
         return asked.select("word", F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("width"))
-    from .kmers import windows
-
     hits = None
     for k in lengths:
         found = windows(seqs, k).join(asked.where(F.length("word") == k), "word")

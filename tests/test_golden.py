@@ -235,3 +235,18 @@ def test_programs(spark, corpus):
     with pytest.raises(ValueError):
         programs.edit(corpus, new_char="N")
     assert programs.edit(corpus, revcomp=True).count() == 2
+
+
+def test_windows_of_long_sequences(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "STEP", 7)
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (0, 1, 3, 7, 8, 9, 14, 50)]
+    seqs = table(spark, [("t", t) for t in texts])
+    for k, before, short in ((1, 0, False), (3, 0, False), (3, 5, False), (4, 0, True), (9, 2, True)):
+        got = sorted(tuple(r) for r in kmers.windows(seqs, k, before=before, short=short).collect())
+        want = []
+        for i, t in enumerate(texts):
+            for p in range(len(t) if short else len(t) - k + 1):
+                row = (i, p, t[p : p + k])
+                want.append((*row, t[max(0, p - before) : p]) if before else row)
+        assert got == sorted(want)
