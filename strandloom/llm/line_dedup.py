@@ -8,8 +8,7 @@ they are counted exactly by a 128-bit hash, and the surviving document of each k
 Scale: the filters have a fixed number of slots (``filter_bits``), so what is collected and
 broadcast never grows with the data. A fuller filter lets more once-seen keys through to the exact
 count; the result stays exact. Counts are combined on the map side, and a key that a third of all
-documents hold is one row per task there; the join that brings verdicts back is a plain equi-join
-that adaptive execution splits where it is skewed.
+documents hold is one row per task there; the join that brings verdicts back is salted.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, as_bytes, small_batches, stored, worker_memory
 
 SLICES = 64
+SALTS = 8
 ROWS = 500  # rows of a batch that are held as Python objects at a time
 
 
@@ -153,7 +153,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     suspects = stored(ids.mapInArrow(_suspects(min_chars, filter_bits, cells), f"id {kind}, key binary"), "line-suspects")
     known = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("winner")).where(F.col("n") >= min_docs).select("key", "winner")
-    lost = suspects.join(known, "key").where(~F.col("id").eqNullSafe(F.col("winner")))
+    # A key that very many documents hold is dealt over SALTS tasks; the few verdicts are repeated for it.
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lost = suspects.withColumn("salt", salt).join(known, ["key", "salt"]).where(~F.col("id").eqNullSafe(F.col("winner")))
     lost = lost.groupBy(F.col("id").alias("__lost_id")).agg(F.collect_set("key").alias("__lost"))
 
     @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,kept_text:string>")
