@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+SALTS = 8
+
+
 class Forest:
     """Union-find over arbitrary integers; the root of a set is its smallest member."""
 
@@ -61,7 +64,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy(F.col("v").alias("u")).agg(F.least(F.min("m"), F.first("v")).alias("r"))
-        large = both.where("m > v").join(least, F.col("v") == F.col("u")).select(F.col("m").alias("v"), F.col("r").alias("m"))
+        # The centre of a large star has very many neighbours: they are dealt over SALTS tasks.
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = both.where("m > v").withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int"))
+        large = spread.join(least.withColumnRenamed("u", "v"), ["v", "salt"]).select(F.col("m").alias("v"), F.col("r").alias("m"))
         large = large.where("v <> m").distinct()
         smallest = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("r"))
         small = large.join(smallest, F.col("v") == F.col("u")).select("v", "m", "r")
