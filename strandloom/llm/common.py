@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import kept as stored
+
+__all__ = ["SPACE", "WORD", "as_bytes", "mixed", "small_batches", "stored", "table", "word_count", "word_hashes", "worker_memory"]
+
 #: The six ASCII white-space characters that separate words.
 SPACE = b" \t\n\x0b\x0c\r"
 #: The same set, as a Java or Python pattern of a word.
@@ -25,34 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the session names none (local tests) a temporary folder of this
-    machine is made and set as the checkpoint folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = tempfile.mkdtemp(prefix="strandloom-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{found}")
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    Cuts the lineage, survives the loss of executors, and gives the optimizer real sizes.
-    """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: What a Python worker keeps from task to task: one value, of the operator that ran last.
 _KEPT: dict[str, object] = {}
 
@@ -64,8 +36,8 @@ def worker_memory(key: str | None = None, make=None):
         if _KEPT:
             _KEPT.clear()
             gc.collect()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
         if key is not None:
             _KEPT[key] = make()
     return _KEPT.get(key) if key is not None else None

@@ -55,7 +55,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m")
-    edges = stored(edges.mapInArrow(_stars, "v bigint, m bigint").distinct(), "stars")
+    # Stored first: what makes the links may run in Python too, and two such steps in a row would take
+    # two workers for each task.
+    edges = stored(stored(edges, "links").mapInArrow(_stars, "v bigint, m bigint").distinct(), "stars")
     state = None
     for _ in range(rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()

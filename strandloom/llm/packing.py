@@ -163,6 +163,7 @@ def _piece_lengths(path: str, capacity: int, end_id: int):
                             c.append(v)
                 types = (kind, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "mark", "piece", "start", "length", "ids_crc32"])
+                del ids, piece, part, cols
 
     return run
 

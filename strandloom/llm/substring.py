@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import as_bytes, mixed, small_batches, stored, word_hashes
+from .common import as_bytes, mixed, small_batches, stored, word_hashes, worker_memory
 from .recompression import parse, window_starts
 
 SLICES = 1024
@@ -44,6 +44,7 @@ NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 def _parts(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, word hashes one after the other, words of each) of about PART documents."""
+    worker_memory()
     i = 0
     while i < len(texts):
         j, size = i, 0
