@@ -8,12 +8,12 @@ semi-join of the one before.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
 from .kmers import windows
-from .ranking import kept
+from .ranking import kept, numbered
 
 
 def repeat_words(seqs: DataFrame, minlen: int = 25, maxlen: int = 45, min_interval: int = 10, maxfrac: float = 0.8) -> DataFrame:
@@ -48,12 +48,14 @@ def exact_repeats(seqs: DataFrame, alphabet: Alphabet, minlen: int = 25, maxlen:
     """
     words = repeat_words(seqs, minlen, maxlen, min_interval, maxfrac)
     both = words.withColumn("strand", F.lit("+")).unionByName(words.withColumn("word", alphabet.revcomp(F.col("word"))).withColumn("strand", F.lit("-")))
-    order = Window.orderBy(alphabet.encode(F.col("word")), "strand")
-    both = both.withColumn("next", F.lead("word").over(order))
+    # Neighbours in sorted order are found over row numbers, not in one task.
+    order = ["code", "strand"]
+    both = kept(numbered(both.withColumn("code", alphabet.encode(F.col("word"))), order, "at"), "sorted")
+    both = both.join(both.select((F.col("at") - 1).alias("at"), F.col("word").alias("next")), "at", "left")
     flagged = F.coalesce(F.col("next").startswith(F.col("word")), F.lit(False)) | (F.col("length") > maxlen)
     both = both.withColumn("is_substring", flagged)
     shown = both if printall else both.where(~F.col("is_substring"))
-    return shown.withColumn("n", F.row_number().over(order).cast("bigint")).select("n", "word", "strand", "length", "nseq", "frac", "is_substring")
+    return numbered(shown, order, "place").select((F.col("place") + 1).alias("n"), "word", "strand", "length", "nseq", "frac", "is_substring")
 
 
 def repeat_fasta(repeats: DataFrame, intervals: DataFrame | None = None, prefix: str = "Repeat") -> DataFrame:
