@@ -107,22 +107,20 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if n > max_docs:
         rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * max_docs / n))
     counts = rows.select(F.col(lang_col).cast("string"), F.col(text_col).cast("binary")).mapInArrow(_counts, "kind int, item string, lang string, n bigint")
-    items = counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "item").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    items = stored(items.where("n >= 2 or kind > 0"), "language-counts")
-    top = {k: items.where(F.col("kind") == k).orderBy(F.desc("n"), "item").limit(max_words if k == 0 else max_grams).collect() for k in (0, *ORDERS)}
-    languages = sorted({x["lang"] for r in (*top[0], *top[1]) for x in r["by"]})
-    index = {x: i for i, x in enumerate(languages)}
+    counts = stored(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "language-counts")
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(languages)]
+    items = stored(counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), *by).where("n >= 2 or kind > 0"), "language-items")
     tables: dict[int, dict[str, int]] = {}
     blocks, base = [], 0
-    for k, found in top.items():
-        block = np.zeros((len(found), len(languages)))
-        for i, r in enumerate(found):
-            for x in r["by"]:
-                block[i, index[x["lang"]]] = x["n"]
-        tables[k] = {r["item"]: base + i for i, r in enumerate(found)}
-        base += len(found)
+    for k in (0, *ORDERS):
+        found = items.where(F.col("kind") == k).orderBy(F.desc("n"), "item").limit(max_words if k == 0 else max_grams)
+        found = found.select("item", *[f"n{i}" for i in range(len(languages))]).toArrow()
+        block = np.stack([c.to_numpy() for c in found.columns[1:]], axis=1).astype(float) if languages else np.zeros((0, 0))
+        tables[k] = {x: base + i for i, x in enumerate(found.column(0).to_pylist())}
+        base += found.num_rows
         # Half a count for what a language has not shown.
-        blocks.append(np.log((block + 0.5) / (block.sum(axis=0) + 0.5 * (len(found) + 1))))
+        blocks.append(np.log((block + 0.5) / (block.sum(axis=0) + 0.5 * (found.num_rows + 1))))
     scores = np.concatenate(blocks) if blocks else np.zeros((0, len(languages)))
     # Only differences between languages matter.
     scores = scores - scores.mean(axis=1, keepdims=True) if len(languages) else scores
