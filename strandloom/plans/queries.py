@@ -441,7 +441,7 @@ def word_table(spark, sf_dir):
 
 
 # --- repeats --------------------------------------------------------------------------------------
-MINLEN, MAXLEN, OFTEN, FRAC = 12, 15, 10, 0.8
+MINLEN, MAXLEN, OFTEN, FRAC = 25, 45, 10, 0.8
 
 
 def _repeat_levels() -> str:
