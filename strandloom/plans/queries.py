@@ -209,6 +209,14 @@ def rank_all_letters(spark, sf_dir):
     return suffix.rank_all(sa, sa.where("row % 97 = 0").select(F.col("row").alias("k")), DNA, 256)
 
 
+@query(f"""WITH {SA}, x AS (SELECT row AS k, l.bwt, l.c, CASE WHEN sa.bwt = l.bwt THEN 1 ELSE 0 END AS hit FROM sa, starts l)
+  SELECT k, bwt, CAST(c + coalesce(sum(hit) OVER (PARTITION BY bwt ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lf FROM x""")
+def rank_all_rows(spark, sf_dir):
+    """The rank of every letter at every row."""
+    sa = index(spark, sf_dir)[0]
+    return suffix.rank_all(sa, sa.select(F.col("row").alias("k")), DNA, 256)
+
+
 @query(f"WITH {SA} SELECT row, substr(s || '*', CAST(pos AS INTEGER) + 1, 1) AS letter FROM sa JOIN bench USING (sid)")
 def first_letters(spark, sf_dir):
     return suffix.first_letters(*index(spark, sf_dir))

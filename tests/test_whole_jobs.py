@@ -8,6 +8,7 @@ from strandloom.plans import queries
 
 MAP = str.maketrans(queries.LOWER, queries.MAPPED)
 TWIN = str.maketrans("ACGTN", "TGCAN")
+ORDER = str.maketrans("ACGTN", "abcde")
 
 
 def letters(text):
@@ -63,3 +64,25 @@ def test_repeats_reach_the_default_lengths(spark, tmp_path):
     assert any(r[2] > 16 for r in shown)
     got = entry.queries()["exact_repeats"](spark, sf).orderBy("n").collect()
     assert [(r["word"], r["strand"], r["length"], r["nseq"]) for r in got] == shown
+
+
+# --- index ----------------------------------------------------------------------------------------
+def suffixes(texts):
+    """[(sid, pos, bwt)] of all rows of the suffix table, by sorting the suffixes themselves."""
+    ends = [(i, len(t), t[-1:] or "*") for i, t in enumerate(texts)]
+    body = sorted((t[p:].translate(ORDER), i, p, t[p - 1] if p else "*") for i, t in enumerate(texts) for p in range(len(t)))
+    return ends + [(i, p, c) for _, i, p, c in body]
+
+
+def starts(rows):
+    n = Counter(c for *_, c in rows)
+    return {c: sum(n[d] for d in "*ACGTN"[: "*ACGTN".index(c)]) for c in n}
+
+
+def test_every_row_has_ranks(spark, tmp_path):
+    passages = ["dab badd", "", "abba dab", "cxyz", "abba dab"]
+    rows = suffixes([letters(t) for t in passages])
+    first = starts(rows)
+    want = {(k, c, n + sum(x[2] == c for x in rows[:k])) for k in range(len(rows)) for c, n in first.items()}
+    got = entry.queries()["rank_all_rows"](spark, tables(spark, tmp_path, ["none"], passages))
+    assert got.count() == len(want) and {tuple(r) for r in got.select("k", "bwt", "lf").collect()} == want
