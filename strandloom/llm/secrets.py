@@ -1,8 +1,9 @@
 """Secret scans with multipart credential linking.
 
-Three base patterns find plain secrets. The linking adds weak parts, a bare secret-like token or an
-endpoint, only where complementary parts stand in one scope: an interval join between access
-identifiers, secrets and endpoints, whose scope is ``scope`` code points to either side.
+Three base patterns find plain secrets. The linking adds weak parts, a bare secret-like token, a named
+identifier or an endpoint, only where complementary parts stand in one scope: an interval join of
+identifiers with secrets and of secrets with endpoints, whose scope is ``scope`` code points to either
+side. An identifier and an endpoint alone are no credential.
 
 Scale: one pass over the texts without a shuffle; parts are joined within a document by binary search
 over sorted spans, so the work is linear in the text but for a logarithm.
@@ -20,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-KINDS = ("assign", "access", "hex", "secret", "endpoint")
+KINDS = ("assign", "access", "hex", "secret", "endpoint", "identifier")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs of hexadecimal digits are maximal, so asking for 16 is the same as dropping shorter runs.
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Weak parts: reported only when linked.
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/=_-])")
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:user(?:_?name)?|login|account(?:_?(?:id|name))?|(?:[a-z0-9]+[_-]){0,4}(?:client|app|tenant|access_?key|key)[_-]?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.IGNORECASE | re.ASCII)
 ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", re.ASCII)
 
 
@@ -44,21 +46,31 @@ def _near(span: tuple[int, int, int], others: list[tuple[int, int, int]], scope:
     return i < len(others) and others[i][0] <= span[2] + scope
 
 
+def _apart(spans: list[tuple[int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap none of ``taken``."""
+    taken, reach, ends = sorted(taken), 0, []
+    for s in taken:
+        reach = max(reach, s[2])
+        ends.append(reach)
+    at = [bisect.bisect_left(taken, (s[2], -1, -1)) for s in spans]
+    return [s for s, i in zip(spans, at, strict=True) if not i or ends[i - 1] <= s[0]]
+
+
 def linked_spans(text: str, base: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
     """Weak parts whose complements stand in their scope."""
     access = [s for s in base if s[1] == 1]
     strong = [s for s in base if s[1] in (0, 2)]
-    if not access and not strong:
+    ends = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)]
+    named = _apart([(m.start(), 5, m.end()) for m in IDENTIFIER.finditer(text)], base + ends)
+    names = sorted(access + named)
+    if not names and not strong:
         return []
     mixed = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")
-    weak = [(m.start(), 3, m.end()) for m in WEAK_SECRET.finditer(text) if mixed.match(m[0])] if access else []
-    taken = sorted(strong + access)
-    weak = [s for s in weak if _near(s, access, scope) and not any(a < s[2] and s[0] < b for a, _, b in taken[max(0, bisect.bisect_left(taken, (s[0], -1, -1)) - 2) : bisect.bisect_left(taken, (s[2], -1, -1))])]
+    # A secret belongs to an identifier, an identifier and an endpoint to a secret.
+    weak = [(m.start(), 3, m.end()) for m in WEAK_SECRET.finditer(text) if mixed.match(m[0])] if names else []
+    weak = [s for s in _apart(weak, base + ends + named) if _near(s, names, scope)]
     secrets = sorted(strong + weak)
-    ends = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)]
-    # An endpoint belongs to a credential if an identifier and a secret are both near.
-    ends = [s for s in ends if _near(s, access, scope) and _near(s, secrets, scope)]
-    return weak + ends
+    return weak + [s for s in named + ends if _near(s, secrets, scope)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
@@ -69,7 +81,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sco
     """One row for each row of ``docs``: ``id_col``, n_assign, n_access, n_hex, base_spans, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, comma-joined.
-    Null and empty texts have none; ties in start are ordered assign, access, hex, secret, endpoint;
+    Null and empty texts have none; ties in start are ordered assign, access, hex, secret, endpoint, identifier;
     repeated rows give repeated results.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -83,7 +95,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sco
                 for k in range(3):
                     counts[k].append(sum(s[1] == k for s in found))
                 base.append(written(found))
-                every.append(written(found + linked_spans(text or "", found, scope)) if found else "")
+                every.append(written(found + linked_spans(text or "", found, scope)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], ["id", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
 
     out = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string")
