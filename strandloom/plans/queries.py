@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,8 +45,8 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna(spark, sf_dir, "benchmark", "item_id")
 
 
-def index(spark: SparkSession, sf_dir: str, revsort: bool = False) -> tuple[DataFrame, DataFrame]:
-    seqs = benchmark(spark, sf_dir)
+def index(spark: SparkSession, sf_dir: str, revsort: bool = False, corpus=benchmark) -> tuple[DataFrame, DataFrame]:
+    seqs = corpus(spark, sf_dir)
     return kept(suffix.suffix_table(seqs, DNA, revsort), "index"), seqs
 
 
@@ -156,8 +158,8 @@ def both_strand_set(spark, sf_dir):
 
 # --- index ----------------------------------------------------------------------------------------
 @query(f"WITH {SA} SELECT * FROM sa")
-def suffix_rows(spark, sf_dir):
-    return index(spark, sf_dir)[0]
+def suffix_rows(spark, sf_dir, corpus=benchmark):
+    return index(spark, sf_dir, corpus=corpus)[0]
 
 
 @query(f"WITH {SA} SELECT row, bwt FROM sa WHERE row BETWEEN 100 AND 1099")
@@ -166,8 +168,8 @@ def bwt_slice(spark, sf_dir):
 
 
 @query(f"WITH {SA} SELECT bwt, count(*) AS n, min(lf) AS first_lf, max(lf) AS last_lf, CAST(sum(lf) AS BIGINT) AS sum_lf FROM sa GROUP BY bwt")
-def lf_mapping(spark, sf_dir):
-    sa = index(spark, sf_dir)[0]
+def lf_mapping(spark, sf_dir, corpus=benchmark):
+    sa = index(spark, sf_dir, corpus=corpus)[0]
     return sa.groupBy("bwt").agg(F.count(F.lit(1)).alias("n"), F.min("lf").alias("first_lf"), F.max("lf").alias("last_lf"), F.sum("lf").alias("sum_lf"))
 
 
@@ -178,8 +180,8 @@ def terminator_rows_revsort(spark, sf_dir):
 
 
 @query(f"WITH {SA} SELECT lf AS row, row AS forward_row FROM sa WHERE bwt <> '*'")
-def inverse_lf(spark, sf_dir):
-    return suffix.inverse_lf(index(spark, sf_dir)[0])
+def inverse_lf(spark, sf_dir, corpus=benchmark):
+    return suffix.inverse_lf(index(spark, sf_dir, corpus=corpus)[0])
 
 
 @query(f"WITH {SA} SELECT row, substr(s || '*', CAST(pos AS INTEGER) + 1, 500) AS text FROM sa JOIN bench USING (sid)")
@@ -188,13 +190,13 @@ def forward_walk(spark, sf_dir):
 
 
 @query(f"WITH {SA} SELECT CAST(srank AS BIGINT) AS srank, s FROM r")
-def reconstruct(spark, sf_dir):
-    return suffix.reconstruct(index(spark, sf_dir)[0])
+def reconstruct(spark, sf_dir, corpus=benchmark):
+    return suffix.reconstruct(index(spark, sf_dir, corpus=corpus)[0])
 
 
 @query(f"WITH {SA} SELECT row, srank, pos FROM sa WHERE row >= (SELECT count(*) FROM bench) AND row % 32 = 0")
-def sa_samples(spark, sf_dir):
-    return suffix.samples(index(spark, sf_dir)[0])
+def sa_samples(spark, sf_dir, corpus=benchmark):
+    return suffix.samples(index(spark, sf_dir, corpus=corpus)[0])
 
 
 @query(f"""WITH {SA}, c AS (SELECT row // 256 AS block, bwt, count(*) AS n FROM sa GROUP BY 1, 2), g AS (SELECT block, bwt FROM (SELECT DISTINCT block FROM c), (SELECT DISTINCT bwt FROM c))
@@ -238,16 +240,16 @@ def initial_intervals(spark, sf_dir):
 
 
 @query(f"WITH {SA}, {_grams('g3', 'bench', 3)} {_intervals(3)}")
-def extend_backward(spark, sf_dir):
+def extend_backward(spark, sf_dir, corpus=benchmark):
     """Two backward extensions from the letters: all words of three."""
-    sa, seqs = index(spark, sf_dir)
+    sa, seqs = index(spark, sf_dir, corpus=corpus)
     two = suffix.extend_backward(sa, suffix.initial_intervals(sa, seqs), DNA)
     return suffix.extend_backward(sa, two, DNA)
 
 
 @query(f"WITH {SA}, {_grams('g4', 'bench', 4)}, w AS ({_intervals(4)}) SELECT w.word, w.lo, w.width, coalesce(v.lo, -1) AS rlo FROM w LEFT JOIN w v ON v.word = {RC.format('w.word')}")
-def reverse_intervals(spark, sf_dir):
-    out = suffix.reverse_intervals(suffix.word_intervals(*index(spark, sf_dir), [4]), DNA)
+def reverse_intervals(spark, sf_dir, corpus=benchmark):
+    out = suffix.reverse_intervals(suffix.word_intervals(*index(spark, sf_dir, corpus=corpus), [4]), DNA)
     return out.withColumn("rlo", F.coalesce("rlo", F.lit(-1)))
 
 
@@ -256,9 +258,9 @@ WORDS = ("ACGT", "AC", "T", "N", "GATTACA", "NNNN", "TACG", "CCA", "GGGGGGGG")
 
 @query(f"""WITH {SA}, w AS (SELECT unnest({list(WORDS)!r}) AS word)
   SELECT w.word, coalesce(min(x.row), 0) AS lo, count(x.row) AS width FROM w LEFT JOIN (SELECT row, substr(s, CAST(pos AS INTEGER) + 1) AS t FROM sa JOIN bench USING (sid) WHERE pos < length(s)) x ON starts_with(x.t, w.word) GROUP BY w.word""")
-def word_lookup(spark, sf_dir):
+def word_lookup(spark, sf_dir, corpus=benchmark):
     words = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    return suffix.lookup(*index(spark, sf_dir), words)
+    return suffix.lookup(*index(spark, sf_dir, corpus=corpus), words)
 
 
 @query(f"""WITH {SA} SELECT row, lpad(CAST(row AS VARCHAR), 10, ' ') || lpad(CAST(pos AS VARCHAR), 10, ' ') || lpad(CAST(length(s) AS VARCHAR), 10, ' ') || ' ' ||
@@ -400,14 +402,14 @@ def _shown(sites: DataFrame) -> DataFrame:
     return rounded(sites, *cols, "p_ref", "entropy").select("sid", "pos", "window", "ref", "alt", *cols, "p_ref", "entropy")
 
 
-def _central(spark, sf_dir) -> DataFrame:
-    seqs = benchmark(spark, sf_dir)
+def _central(spark, sf_dir, corpus=benchmark) -> DataFrame:
+    seqs = corpus(spark, sf_dir)
     return predict.site_probabilities(seqs, seqs, predict.Model())
 
 
 @query(f"WITH {CENTRAL} SELECT {SHOWN} FROM pr")
-def central_probs(spark, sf_dir):
-    return _shown(_central(spark, sf_dir))
+def central_probs(spark, sf_dir, corpus=benchmark):
+    return _shown(_central(spark, sf_dir, corpus))
 
 
 @query(f"WITH {MARKOV} SELECT {SHOWN} FROM pr")
@@ -416,19 +418,19 @@ def markov_probs(spark, sf_dir):
 
 
 @query(f"WITH {BOTH} SELECT {SHOWN} FROM pr")
-def bidirectional_probs(spark, sf_dir):
-    seqs = benchmark(spark, sf_dir)
+def bidirectional_probs(spark, sf_dir, corpus=benchmark):
+    seqs = corpus(spark, sf_dir)
     return _shown(predict.site_probabilities(seqs, seqs, predict.Model(markov=True, both=True)))
 
 
 @query(f"""WITH {CENTRAL}, v AS (SELECT *, {BEST} AS alt, {ENTROPY} AS e FROM pr) SELECT name AS "CHROM", pos AS "POS", w AS "ID", ref AS "REF", alt AS "ALT", round({OWN}, 6) AS "QUAL", CASE WHEN alt = ref THEN 'PASS' ELSE 'no' END AS "FILTER" FROM v""")
-def vcf_sites(spark, sf_dir):
-    return rounded(predict.vcf_rows(_central(spark, sf_dir)), "QUAL").drop("INFO")
+def vcf_sites(spark, sf_dir, corpus=benchmark):
+    return rounded(predict.vcf_rows(_central(spark, sf_dir, corpus)), "QUAL").drop("INFO")
 
 
 @query(f"WITH {CENTRAL} SELECT count(*) AS total, count(*) FILTER ({BEST} = ref) AS correct, round(count(*) FILTER ({BEST} = ref) / count(*), 6) AS fraction FROM pr")
-def prediction_accuracy(spark, sf_dir):
-    return rounded(predict.accuracy(_central(spark, sf_dir)), "fraction")
+def prediction_accuracy(spark, sf_dir, corpus=benchmark):
+    return rounded(predict.accuracy(_central(spark, sf_dir, corpus)), "fraction")
 
 
 STATS = f"""{CENTRAL}, v AS (SELECT sid, pos, ref, {OWN} AS p, pos - row_number() OVER (PARTITION BY sid ORDER BY pos) AS island FROM pr),
@@ -438,14 +440,30 @@ STATS = f"""{CENTRAL}, v AS (SELECT sid, pos, ref, {OWN} AS p, pos - row_number(
 
 
 @query(f"WITH {STATS} SELECT word, count, round(prob, 6) AS prob, round(logp, 6) AS logp FROM s")
-def word_stats(spark, sf_dir):
-    return rounded(predict.word_statistics(_central(spark, sf_dir), 3), "prob", "logp")
+def word_stats(spark, sf_dir, corpus=benchmark):
+    return rounded(predict.word_statistics(_central(spark, sf_dir, corpus), 3), "prob", "logp")
 
 
 @query(f"""WITH {STATS}, a AS (SELECT unnest(range(64)) AS num), w AS (SELECT num, substr('ACGT', num // 16 + 1, 1) || substr('ACGT', num // 4 % 4 + 1, 1) || substr('ACGT', num % 4 + 1, 1) AS word FROM a)
   SELECT num, word, coalesce(count, 0) AS count, round(coalesce(prob, 0), 6) AS prob, round(coalesce(logp, 0), 6) AS logp FROM w LEFT JOIN s USING (word)""")
-def word_table(spark, sf_dir):
-    return rounded(predict.word_table(predict.word_statistics(_central(spark, sf_dir), 3), 3), "prob", "logp")
+def word_table(spark, sf_dir, corpus=benchmark):
+    return rounded(predict.word_table(predict.word_statistics(_central(spark, sf_dir, corpus), 3), 3), "prob", "logp")
+
+
+# --- the same over the corpus ---------------------------------------------------------------------
+def _over_documents(f, sql: bool) -> None:
+    """Registers f over documents. SQL is that of f over docs; sorting all suffixes of documents as
+    texts is quadratic in their length, so the index has none and is compared with brute force."""
+    name = f"documents_{f.__name__}"
+    QUERIES[name] = partial(f, corpus=documents)
+    if sql:
+        ORACLES[name] = re.sub(r"\bbench\b", "docs", ORACLES[f.__name__].replace(BENCH, DOCS))
+
+
+for _f in (suffix_rows, lf_mapping, inverse_lf, reconstruct, sa_samples, extend_backward, word_lookup, reverse_intervals):
+    _over_documents(_f, sql=False)
+for _f in (central_probs, bidirectional_probs, vcf_sites, prediction_accuracy, word_stats, word_table):
+    _over_documents(_f, sql=True)
 
 
 # --- repeats --------------------------------------------------------------------------------------

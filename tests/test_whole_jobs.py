@@ -110,3 +110,21 @@ def test_linked_parts_of_key_value_files(spark, tmp_path):
         [], [("access", access)], [],
         [], [("assign", "password=abcdefghijklmn")],
     ]
+
+
+# --- index over documents -------------------------------------------------------------------------
+def test_documents_are_indexed(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdx") for _ in range(n)) for n in (30, 0, 55, 1)]
+    texts += [texts[2], texts[0][5:]]
+    q, sf = entry.queries(), tables(spark, tmp_path, texts)
+    seqs = [letters(t) for t in texts]
+    rows = suffixes(seqs)
+    row = {(i, p): k for k, (i, p, _) in enumerate(rows)}
+    got = {r["row"]: r for r in q["documents_suffix_rows"](spark, sf).collect()}
+    assert [(got[k]["sid"], got[k]["pos"], got[k]["bwt"]) for k in range(len(rows))] == rows
+    assert all(got[k]["lf"] == row[i, p - 1] for k, (i, p, c) in enumerate(rows) if c != "*")
+    found = {r["word"]: (r["lo"], r["width"]) for r in q["documents_word_lookup"](spark, sf).collect()}
+    for word in queries.WORDS:
+        at = [k for k, (i, p, _) in enumerate(rows) if seqs[i].startswith(word, p)]
+        assert found[word] == (min(at, default=0), len(at))
