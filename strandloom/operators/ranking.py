@@ -1,4 +1,4 @@
-"""Global row numbers without a single task.
+"""Global row numbers without a single task, and tables kept in the shared folder.
 
 Rows are dealt by ranges of the keys, numbered within a range, and shifted by the sizes of the ranges
 before it. The sizes are one row per range: a bounded number that is broadcast.
@@ -7,6 +7,7 @@ before it. The sizes are one row per range: a bounded number that is broadcast.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -14,14 +15,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tables of this process that are still there: path -> session.
+_KEPT: dict[str, SparkSession] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where none is set, a temporary folder of this machine."""
+    """spark.checkpoint.dir; where none is set, a temporary folder, but only if Spark runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="strandloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(f"file://{found}")
@@ -30,10 +37,40 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: cuts the lineage, survives lost executors.
+
+    The table stays until ``forget`` or ``clear`` is called or the process ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _KEPT[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``kept`` that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "kept_at", None)
+        if path and _KEPT.pop(path, None):
+            _delete(table.sparkSession, path)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete all tables that ``kept`` has made in this process; results that read them are lost."""
+    while _KEPT:
+        path, spark = _KEPT.popitem()
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, path)
 
 
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
