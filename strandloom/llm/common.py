@@ -5,15 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import forget
 from ..operators.ranking import kept as stored
 
-__all__ = ["SPACE", "WORD", "as_bytes", "mixed", "small_batches", "stored", "table", "word_count", "word_hashes", "worker_memory"]
+__all__ = ["SPACE", "WORD", "as_bytes", "forget", "in_parts", "mixed", "sliced", "stored", "table", "unused", "word_count", "word_hashes", "worker_memory"]
 
 #: The six ASCII white-space characters that separate words.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -43,11 +45,30 @@ def worker_memory(key: str | None = None, make=None):
     return _KEPT.get(key) if key is not None else None
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Let Python workers get at most 2 000 rows at a time: texts can be long, and two workers share an
-    executor's memory. Returns df."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return df
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, made from ``names`` by underscores."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows. Spark bounds a batch in bytes (64 MB unless configured); what an
+    operator makes of a batch as Python objects is bounded by this."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def in_parts(f: Callable[..., pa.Array], *columns: pa.Array, rows: int = 2_000) -> pa.Array:
+    """f over stretches of at most ``rows`` rows of the columns, put together again."""
+    parts = [f(*(c.slice(lo, rows) for c in columns)) for lo in range(0, max(1, len(columns[0])), rows)]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
 
 def word_count(text: Column) -> Column:

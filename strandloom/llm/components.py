@@ -9,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
-
-SALTS = 8
+from .common import forget, stored
 
 
 class Forest:
@@ -57,7 +54,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m")
     # Stored first: what makes the links may run in Python too, and two such steps in a row would take
     # two workers for each task.
-    edges = stored(stored(edges, "links").mapInArrow(_stars, "v bigint, m bigint").distinct(), "stars")
+    raw = stored(edges, "links")
+    edges = stored(raw.mapInArrow(_stars, "v bigint, m bigint").distinct(), "stars")
+    forget(raw)
+    salts = min(64, max(8, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     state = None
     for _ in range(rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
@@ -66,15 +66,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         state = now
         both = edges.unionByName(edges.select(F.col("m").alias("v"), F.col("v").alias("m")))
         least = both.groupBy(F.col("v").alias("u")).agg(F.least(F.min("m"), F.first("v")).alias("r"))
-        # The centre of a large star has very many neighbours: they are dealt over SALTS tasks.
-        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        spread = both.where("m > v").withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(SALTS)).cast("int"))
+        # The centre of a large star has very many neighbours: they are dealt over many tasks.
+        least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = both.where("m > v").withColumn("salt", F.pmod(F.xxhash64("m"), F.lit(salts)).cast("int"))
         large = spread.join(least.withColumnRenamed("u", "v"), ["v", "salt"]).select(F.col("m").alias("v"), F.col("r").alias("m"))
         large = large.where("v <> m").distinct()
         smallest = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("r"))
         small = large.join(smallest, F.col("v") == F.col("u")).select("v", "m", "r")
         small = small.select(F.col("m").alias("v"), F.col("r").alias("m")).unionByName(smallest.select(F.col("u").alias("v"), F.col("r").alias("m")))
-        edges = stored(small.where("v <> m").distinct(), "stars")
+        last, edges = edges, stored(small.where("v <> m").distinct(), "stars")
+        forget(last)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -22,10 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, small_batches, stored, worker_memory
+from .common import SPACE, as_bytes, stored, unused, worker_memory
 
 SLICES = 64
-SALTS = 8
 ROWS = 500  # rows of a batch that are held as Python objects at a time
 
 
@@ -140,10 +139,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest ``id_col`` that holds them.
 
     Edge cases: every row is a document, so repeated rows count as documents and share their fate;
-    a null id is below all others and keeps lines only if all holders are null; an empty table gives
-    an empty result.
+    a null id is below all others and keeps lines only if all holders are null; a tie for the largest id
+    keeps the lines of all rows of that id; texts are split whole, however long; an empty table gives an
+    empty result.
     """
-    spark = small_batches(docs).sparkSession
+    spark = docs.sparkSession
+    salts = min(64, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    lost_id, lost_keys, made = unused(docs, "__lost_id", "__lost", "__cut")
     text = F.col(text_col).cast("binary").alias("text")
     slices = docs.select(text).mapInArrow(_seen_slices(min_chars, filter_bits), "slice int, kind int, bits binary")
     merged = slices.repartition("slice").mapInArrow(_merged_slices, "slice int, bits binary")
@@ -153,11 +155,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
     suspects = stored(ids.mapInArrow(_suspects(min_chars, filter_bits, cells), f"id {kind}, key binary"), "line-suspects")
     known = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("winner")).where(F.col("n") >= min_docs).select("key", "winner")
-    # A key that very many documents hold is dealt over SALTS tasks; the few verdicts are repeated for it.
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # A key that very many documents hold is dealt over 8 to 64 tasks; the few verdicts are
+    # repeated for it.
+    salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     lost = suspects.withColumn("salt", salt).join(known, ["key", "salt"]).where(~F.col("id").eqNullSafe(F.col("winner")))
-    lost = lost.groupBy(F.col("id").alias("__lost_id")).agg(F.collect_set("key").alias("__lost"))
+    lost = lost.groupBy(F.col("id").alias(lost_id)).agg(F.collect_set("key").alias(lost_keys))
 
     @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,kept_text:string>")
     def cut(texts: pa.Array, lost: pa.Array) -> pa.Array:
@@ -176,7 +179,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept.append(text or b"")
         return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_lines", "n_dropped", "kept_text"])
 
-    joined = docs.join(lost, docs[id_col].eqNullSafe(F.col("__lost_id")), "left")
-    out = joined.withColumn("__cut", cut.asNondeterministic()(F.col(text_col).cast("binary"), F.col("__lost")))
+    joined = docs.join(lost, docs[id_col].eqNullSafe(F.col(lost_id)), "left")
+    out = joined.withColumn(made, cut.asNondeterministic()(docs[text_col].cast("binary"), F.col(lost_keys)))
     names = ("n_lines", "n_dropped", "kept_text")
-    return out.select(*[docs[c] for c in docs.columns if c not in names], *[F.col(f"__cut.{c}").alias(c) for c in names])
+    return out.select(*[docs[c] for c in docs.columns if c.lower() not in names], *[F.col(f"{made}.{c}").alias(c) for c in names])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, stored, worker_memory
+from .common import as_bytes, stored, worker_memory
 
 
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -324,10 +324,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``tokenizer``: path of a tokenizers file whose tokens never cross ASCII white space. Returns per
     piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset. A row's ids end with
     ``end_id``, so null and empty texts are one piece of one token. Only rows longer than the capacity
-    are cut. Repeated rows are packed as often as they occur; null ids are packed like others; an
-    empty table gives no sequence.
+    are cut, whole. Repeated rows are packed as often as they occur; pieces of one length are told apart
+    by id, text and place, so ties only swap places; null ids are packed like others; columns of other
+    names are not read; an empty table gives no sequence.
     """
-    spark = small_batches(docs).sparkSession
+    spark = docs.sparkSession
     text = F.col(text_col).cast("binary")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))

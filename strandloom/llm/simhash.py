@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, small_batches, stored, worker_memory
+from .common import as_bytes, in_parts, stored, unused, worker_memory
 from .components import components, runs
 
 
@@ -50,7 +50,7 @@ def fingerprint_column(size: int):
     @F.arrow_udf("bigint")
     def fingerprint(texts: pa.Array) -> pa.Array:
         worker_memory()
-        return pa.array(np.array([simhash(t, size) for t in as_bytes(texts)], np.uint64).view(np.int64), pa.int64())
+        return in_parts(lambda part: pa.array(np.array([simhash(t, size) for t in as_bytes(part)], np.uint64).view(np.int64), pa.int64()), texts)
 
     return fingerprint
 
@@ -150,7 +150,7 @@ def close_links(prints: DataFrame, distance: int = 4, group_rows: int = 4096) ->
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, group_rows: int) -> DataFrame:
     """(id, mark, print, root, component_id) for each row; mark is a hash of the text."""
     text = F.col(text_col).cast("binary")
-    prints = stored(small_batches(docs).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_column(shingle)(text).alias("print")), "prints")
+    prints = stored(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), fingerprint_column(shingle)(text).alias("print")), "prints")
     distinct = stored(prints.groupBy("print").agg(F.min("id").alias("least")), "distinct-prints")
     roots = components(close_links(distinct.select("print"), distance, group_rows))
     named = distinct.join(roots.withColumnRenamed("v", "print"), "print", "left").select("print", "least", F.coalesce("m", "print").alias("root"))
@@ -175,14 +175,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay: exactly one of each near group, that with the smallest id.
 
     Null ids come last; rows of one id are told apart by a hash of their text, and of equal rows one
-    stays.
+    stays. Null texts and texts without words are one group; texts are read whole; columns stay as they
+    are, whatever their names; an empty table gives an empty result.
     """
     found = _grouped(docs, id_col, text_col, shingle, distance, group_rows)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.select(F.col("first.id").alias("__id"), F.col("first.mark").alias("__mark"))
+    own, mark = unused(docs, "__id", "__mark")
+    first = first.select(F.col("first.id").alias(own), F.col("first.mark").alias(mark))
     text = F.col(text_col).cast("binary")
-    stay = docs.join(first, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")))
+    stay = docs.join(first, docs[id_col].eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(mark)))
     repeated = found.groupBy("id", "mark").count().where("count > 1")
-    if repeated.isEmpty():
-        return stay.select(docs["*"])
-    return stay.dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+    if not repeated.isEmpty():
+        stay = stay.dropDuplicates([own, mark])
+    return stay.select(*[docs[c] for c in docs.columns])

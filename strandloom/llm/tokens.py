@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import sliced
 
 RULES = ("start", "majority", "split")
 _ENCODINGS: dict = {}
@@ -67,7 +67,9 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
     A section is a stretch up to and with a ``separator`` (the last one is what follows the last
     separator, if anything). Sections' counts add up to n_tokens under every rule. Null and empty texts
-    have no token and no section; repeated rows give repeated results.
+    have no token and no section; a tie goes to the first section; texts are encoded whole, however long;
+    null ids stay; columns of other names are not read; repeated rows give repeated results, an empty
+    table none.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -78,7 +80,7 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, lengths = encoding(ranks, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             totals, sections, counts = [], [], []
             for text in batch.column(1).to_pylist():
                 data = (text or "").encode()
@@ -92,5 +94,5 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_i
                 counts.append(attribute(ends, borders, rule) if len(borders) else np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(sections, pa.int64()), pa.array(counts, pa.list_(pa.float64()))], ["id", "n_tokens", "n_sections", "section_tokens"])
 
-    out = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens bigint, n_sections bigint, section_tokens array<double>")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_tokens bigint, n_sections bigint, section_tokens array<double>")
     return out.withColumnRenamed("id", id_col)
