@@ -2,18 +2,21 @@
 
 1. Anchors of all windows are counted by name; a window whose anchor occurs once cannot repeat. The
    names that occur more than once fill a filter of a fixed number of bits.
-2. Symbols of at least ``window`` words are shared or not by an exact check of their content: all
+2. Symbols of at least ``window`` words are shared or not by a check of 96 bits of their content: all
    words of a shared symbol are removed, so copies of whole documents ask for no windows.
 3. Windows that cover a word still open and whose anchor passes the filter ask whether they repeat.
    A second filter holds a rolling hash of what is asked; windows of the corpus that pass it bear
-   witness, and asks and witnesses meet in an exact check by 96 bits of two hashes of their words.
+   witness, and asks and witnesses meet in a check by 96 bits of two hashes of their words. Words are
+   hashed to 64 bits first, so equal windows always meet and unequal ones with a chance of about
+   2 ** -64 for each pair of unequal words in the same place.
 
 Scale: the rounds need no exchange, as names are functions of content. Anchors shuffle as one number,
 long symbols as one row for 60 words, and windows only near the ends of repeats. What a batch sees
-twice is settled there and leaves one witness, so a passage that a third of all documents hold is a
-row per batch. Texts are compressed before they are dealt by document. The filters are the only thing
-collected and broadcast (2 ** filter_bits bits whatever the input); a fuller one lets more windows
-through to the exact check and changes no result.
+twice is settled there, its spans are dealt by their places, and its content leaves one witness, for
+windows two in a task as a rule; so a passage that a third of all documents hold is no hot key. Texts
+are compressed before they are dealt by document. The filters are the only thing collected and broadcast
+(2 ** filter_bits bits whatever the input); a fuller one lets more windows through to the last check and
+changes no result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from .common import as_bytes, mixed, small_batches, stored, word_hashes, worker_memory
+from .common import as_bytes, in_parts, mixed, sliced, stored, word_hashes, worker_memory
 from .recompression import parse, window_starts
 
 SLICES = 1024
@@ -62,7 +65,7 @@ def _short(names: np.ndarray) -> np.ndarray:
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [np.zeros(0, np.uint64)]
             for _, words, sizes in _parts(as_bytes(batch.column(0))):
                 p = parse(words, sizes, window, window_starts(sizes, window), nodes=False)
@@ -179,12 +182,14 @@ def _settled(single: int, hashes: np.ndarray, keys: np.ndarray, lo: np.ndarray,
         begins = np.ones(len(more), np.bool_)
         begins[1:] = (k[1:] != k[:-1]).any(axis=1) | (a[1:] > b[:-1]) | (a[1:] < a[:-1])
         first = np.flatnonzero(begins)
-        yield _rows(hashes[more[first]], np.full(len(first), 2), k[first], a[first], np.maximum.reduceat(b, first))
+        # What is settled needs no meeting: it is dealt by its place, not by a content many places share.
+        place = np.stack([mixed(k[first, 0].view(np.uint64) + a[first].astype(np.uint64)).view(np.int64), k[first, 1].astype(np.int32).astype(np.int64)], axis=1)
+        yield _rows(place, np.full(len(first), 2), k[first], a[first], np.maximum.reduceat(b, first))
 
 
 def _long_symbols(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], axis=1)
             found: list[tuple[np.ndarray, ...]] = []
             for i, words, sizes in _parts(as_bytes(batch.column(2))):
@@ -205,7 +210,7 @@ def _open_windows(window: int, bits: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_bits = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             keys = np.stack([np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))], axis=1)
             spans = batch.column("spans").to_pylist()
             found: list[tuple[np.ndarray, ...]] = []
@@ -232,12 +237,28 @@ def _open_windows(window: int, bits: int, shared):
     return run
 
 
+class _Seen:
+    """How often a task has borne witness to a content, up to twice, for the latest content in each of a
+    fixed number of places. Others bear witness again, which costs a row and changes no result."""
+
+    def __init__(self, bits: int = 18) -> None:
+        self.bits, self.held, self.times = bits, np.zeros((1 << bits, 2), np.int64), np.zeros(1 << bits, np.int64)
+
+    def new(self, hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which of the distinct contents (n times here) are still to be sent."""
+        at = (hashes[:, 0].view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+        times = np.where((self.held[at] == hashes).all(axis=1), self.times[at], 0)
+        send = times < 2
+        self.held[at], self.times[at] = hashes, times + n
+        return send
+
+
 def _witnesses(window: int, bits: int, asked):
     """Every window of the corpus that may be asked for, without its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked_bits = asked.value
-        for batch in batches:
+        asked_bits, seen = asked.value, _Seen()
+        for batch in sliced(batches):
             found = [np.zeros((0, 2), np.int64)]
             for _, words, sizes in _parts(as_bytes(batch.column(0))):
                 at = window_starts(sizes, window)
@@ -250,7 +271,9 @@ def _witnesses(window: int, bits: int, asked):
             head = np.ones(len(h), np.bool_)
             head[1:] = (h[1:] != h[:-1]).any(axis=1)
             first = np.flatnonzero(head)
-            yield _rows(h[first], np.minimum(np.diff(np.append(first, len(h))), 2), None, first, first)
+            h, n = h[first], np.minimum(np.diff(np.append(first, len(h))), 2)
+            send = seen.new(h, n)
+            yield _rows(h[send], n[send], None, first[send], first[send])
 
     return run
 
@@ -258,7 +281,7 @@ def _witnesses(window: int, bits: int, asked):
 @F.arrow_udf(BinaryType())
 def _packed(texts: pa.Array) -> pa.Array:
     pack = zstandard.ZstdCompressor(level=3).compress
-    return pa.array([None if t is None else pack(t) for t in as_bytes(texts)], pa.binary())
+    return in_parts(lambda part: pa.array([None if t is None else pack(t) for t in as_bytes(part)], pa.binary()), texts)
 
 
 def _unpacked(cells: pa.Array) -> list[bytes | None]:
@@ -312,10 +335,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept_text (the kept words joined by one space). Windows are judged on the input and never cross
     documents; a run that overlaps itself counts as elsewhere. Null and empty texts have no words;
     texts shorter than the window keep all; every row is a text of its own, so repeated rows remove each
-    other; ids may be null; an empty table gives an empty result.
+    other and ties need no rule; texts are read whole, however long; ids may be null; columns of other
+    names are not read; an empty table gives an empty result.
     """
     text = F.col(text_col).cast("binary")
-    docs = small_batches(docs)
     keyed = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("k1"), F.xxhash64(text, F.col(id_col), F.lit(2)).alias("k2"))
 
     names = docs.select(text).mapInArrow(_anchors(window), "name bigint")
@@ -330,6 +353,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept_text:string>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return in_parts(cut_some, texts, spans)
+
+    def cut_some(texts: pa.Array, spans: pa.Array) -> pa.Array:
         n_words, n_removed, kept = [], [], []
         for text, own in zip(_unpacked(texts), spans.to_pylist(), strict=True):
             words = (text or b"").split()
