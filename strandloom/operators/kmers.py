@@ -7,25 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
 
-
 STEP = 1 << 15  # letters of a sequence that are cut into windows at a time
 
 
-def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sid",), *, text: str = "s", before: int = 0, short: bool = False) -> DataFrame:
-    """(keep..., pos, word): every window of k letters, pos from 0; with ``before`` also ``left``, the
-    up to so many letters in front of it; with ``short`` also the shorter windows at the end.
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over all tasks. What is made of a row here is many times its size, so a file that few
+    tasks read, or one long sequence, must not keep its rows in those tasks."""
+    return rows.repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
-    Letters are ASCII, so the text is cut as bytes: constant work per window. A long sequence is first
-    cut into overlapping stretches of STEP windows, so no row holds all windows of a sequence.
-    """
-    last = F.octet_length(text) - (1 if short else k)
+
+def stretches(seqs: DataFrame, over: int, keep: tuple[str, ...] = ("sid",), *, text: str = "s", before: int = 0, last: Column | None = None) -> DataFrame:
+    """(keep..., at, off, data): overlapping stretches of the texts as bytes, one for each STEP positions
+    up to ``last`` (the last letter). A stretch holds STEP letters from position ``at``, the ``over``
+    letters behind them and the up to ``before`` letters in front; ``off`` is where ``at`` is in data."""
+    last = F.octet_length(text) - 1 if last is None else last
 
     def stretch(a: Column) -> Column:
         b = F.greatest(a - before, F.lit(0))
-        return F.struct(a.alias("at"), (a - b).alias("off"), F.substring(F.col(text).cast("binary"), b + 1, a - b + STEP + k - 1).alias("data"))
+        return F.struct(a.alias("at"), (a - b).alias("off"), F.substring(F.col(text).cast("binary"), b + 1, a - b + STEP + over).alias("data"))
 
     rows = seqs.where(last >= 0).select(*keep, F.explode(F.transform(F.sequence(F.lit(0), last, F.lit(STEP)), stretch)).alias("c"))
-    data, off = F.col("c.data"), F.col("c.off")
+    return spread(rows.select(*keep, F.col("c.at").alias("at"), F.col("c.off").alias("off"), F.col("c.data").alias("data")))
+
+
+def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sid",), *, text: str = "s", before: int = 0, short: bool = False) -> DataFrame:
+    """(keep..., pos, word): every window of k letters, pos from 0; with ``before`` also ``left``, the
+    up to so many letters in front of it; with ``short`` also the shorter windows at the end.
+
+    Letters are ASCII, so the text is cut as bytes: constant work per window. A long sequence is first
+    cut into overlapping stretches of STEP windows, which are dealt over all tasks, so no row and no task
+    holds all windows of a sequence.
+    """
+    rows = stretches(seqs, k - 1, keep, text=text, before=before, last=F.octet_length(text) - (1 if short else k))
+    data, off = F.col("data"), F.col("off")
     n = F.least(F.lit(STEP), F.octet_length(data) - off - (0 if short else k - 1))
 
     def window(p: Column) -> Column:
@@ -33,7 +47,7 @@ def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sid",), *, text:
         left = F.substring(data, F.greatest(off + p - before, F.lit(0)) + 1, F.least(off + p, F.lit(before))).cast("string")
         return F.struct(word.alias("word"), left.alias("left")) if before else F.struct(word.alias("word"))
 
-    rows = rows.select(*keep, F.col("c.at").alias("at"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("p", "w"))
+    rows = rows.select(*keep, "at", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("p", "w"))
     return rows.select(*keep, (F.col("at") + F.col("p")).alias("pos"), "w.word", *(["w.left"] if before else []))
 
 
@@ -46,25 +60,35 @@ def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
     return windows(seqs, k, ()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def in_reversed_order(counts: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """counts (word, n) sorted by the words read backwards, the order of a walk that grows words to the left."""
+    return counts.orderBy(F.reverse(alphabet.encode(F.col("word"))))
+
+
 def both_strand_counts(seqs: DataFrame, k: int, alphabet: Alphabet) -> DataFrame:
     """(word, n): occurrences on both strands; the reverse complements are never made as texts."""
-    forward = kmer_counts(seqs, k)
-    twin = forward.select(alphabet.revcomp(F.col("word")).alias("word"), "n")
-    return forward.unionByName(twin).groupBy("word").agg(F.sum("n").alias("n"))
+    return with_twins(kmer_counts(seqs, k), alphabet)
+
+
+def with_twins(counts: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """counts (word, n) of one strand as counts of both."""
+    twin = counts.select(alphabet.revcomp(F.col("word")).alias("word"), "n")
+    return counts.unionByName(twin).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def neighbour_histogram(seqs: DataFrame, k: int) -> DataFrame:
     """(word, left_letter, n, tot, top): letters before each word; terminators do not count."""
-    grams = windows(seqs, k + 1, ()).select(F.substring("word", 1, 1).alias("left_letter"), F.substring("word", 2, k).alias("word"))
-    counts = grams.groupBy("word", "left_letter").agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.groupBy("word").agg(F.sum("n").alias("tot"), F.max("n").alias("top"))
-    return counts.join(sums, "word").select("word", "left_letter", "n", "tot", "top")
+    grams = windows(seqs, k + 1, ()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = grams.select(F.substring("word", 2, k).alias("word"), F.substring("word", 1, 1).alias("left_letter"), "n")
+    own = Window.partitionBy("word")
+    return counts.select("word", "left_letter", "n", F.sum("n").over(own).alias("tot"), F.max("n").over(own).alias("top"))
 
 
 def nucleotide_kids(seqs: DataFrame, k: int, complement: bool = False) -> DataFrame:
     """(word, n_a, n_c, n_g, n_t): the four letters before each word, complemented if asked."""
-    letter = F.translate("left_letter", "ACGT", "TGCA") if complement else F.col("left_letter")
-    rows = neighbour_histogram(seqs, k).withColumn("c", letter)
+    grams = kmer_counts(seqs, k + 1)
+    letter = F.substring("word", 1, 1)
+    rows = grams.select(F.substring("word", 2, k).alias("word"), (F.translate(letter, "ACGT", "TGCA") if complement else letter).alias("c"), "n")
     return rows.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)).alias(f"n_{c.lower()}") for c in "ACGT"])
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import DNA, argmax_letter, entropy
-from .kmers import acgt, both_strand_counts, windows
+from .kmers import acgt, windows, with_twins
+from .ranking import kept
 
 LETTERS = "ACGT"
 
@@ -39,16 +40,26 @@ class Model:
         return self.kmax + 1 if self.markov and not self.both else 2 * self.kmax + 1
 
 
-def contexts(corpus: DataFrame, k: int, markov: bool) -> DataFrame:
-    """(ctx, n_A, n_C, n_G, n_T): letters in each context of order k, on both strands."""
-    size = k + 1 if markov else 2 * k + 1
-    words = both_strand_counts(corpus, size, DNA).where(acgt(F.col("word")))
-    ctx = F.concat(F.substring("word", 1, k), F.substring("word", k + 2, k))
-    words = words.select(ctx.alias("ctx"), F.substring("word", k + 1, 1).alias("c"), "n")
-    return words.groupBy("ctx").agg(*[F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)).alias(f"n_{c}") for c in LETTERS])
+def contexts(corpus: DataFrame, model: Model) -> dict[int, DataFrame]:
+    """{order: (ctx, n_A, n_C, n_G, n_T)}: letters in each context, on both strands.
 
+    The corpus is read once: words of the longest size, and shorter ones at the ends of sequences, are
+    counted, and the words of every shorter order are their beginnings.
+    """
+    sizes = {k: k + 1 if model.markov else 2 * k + 1 for k in range(model.kmin, model.kmax + 1)}
+    words = windows(corpus, sizes[model.kmax], (), short=True).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    words = kept(words, "word-counts")
+    out = {}
+    for k, size in sizes.items():
+        own = words.where(F.octet_length("word") >= size).select(F.substring("word", 1, size).alias("word"), "n").where(acgt(F.col("word")))
+        own = with_twins(own.groupBy("word").agg(F.sum("n").alias("n")), DNA)
+        ctx = F.concat(F.substring("word", 1, k), F.substring("word", k + 2, k))
+        own = own.select(ctx.alias("ctx"), F.substring("word", k + 1, 1).alias("c"), "n")
+        out[k] = kept(own.groupBy("ctx").agg(*[F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0)).alias(f"n_{c}") for c in LETTERS]), "contexts")
+    return out
 
-def _folded(rows: DataFrame, corpus: DataFrame, model: Model, context: Column, ref: str, subtract: bool, out: str) -> DataFrame:
+
+def _folded(rows: DataFrame, tables: dict[int, DataFrame], model: Model, context: Column, ref: str, subtract: bool, out: str) -> DataFrame:
     """rows with {out}_A .. {out}_T: the fold from kmin to kmax; ``context`` holds kmax letters to the
     left (and as many to the right) of the letter."""
     k_max = model.kmax
@@ -57,8 +68,7 @@ def _folded(rows: DataFrame, corpus: DataFrame, model: Model, context: Column, r
         rows = rows.withColumn(f"{out}_{c}", F.lit(0.0))
     for k in range(model.kmin, k_max + 1):
         part = F.substring("__ctx", k_max - k + 1, k) if model.markov else F.concat(F.substring("__ctx", k_max - k + 1, k), F.substring("__ctx", k_max + 1, k))
-        counts = contexts(corpus, k, model.markov)
-        rows = rows.withColumn("ctx", part).join(counts, "ctx", "left")
+        rows = rows.withColumn("ctx", part).join(tables[k], "ctx", "left")
         n = {c: F.coalesce(F.col(f"n_{c}"), F.lit(0)).cast("double") for c in LETTERS}
         total = n["A"] + n["C"] + n["G"] + n["T"]
         less = F.when((total > 0), 1.0).otherwise(0.0) if subtract else F.lit(0.0)
@@ -72,13 +82,14 @@ def _folded(rows: DataFrame, corpus: DataFrame, model: Model, context: Column, r
 def window_probabilities(corpus: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     """words (word) with ref and p_A .. p_T."""
     k = model.kmax
+    tables = contexts(corpus, model)
     rows = words.withColumn("ref", F.substring("word", k + 1, 1))
     left, right = F.substring("word", 1, k), F.substring("word", k + 2, k)
     if not model.both:
-        return _folded(rows, corpus, model, left if model.markov else F.concat(left, right), "ref", model.subtract, "p")
+        return _folded(rows, tables, model, left if model.markov else F.concat(left, right), "ref", model.subtract, "p")
     rows = rows.withColumn("rref", DNA.complement(F.col("ref")))
-    rows = _folded(rows, corpus, model, left, "ref", model.subtract, "f")
-    rows = _folded(rows, corpus, model, DNA.revcomp(right), "rref", model.subtract, "r")
+    rows = _folded(rows, tables, model, left, "ref", model.subtract, "f")
+    rows = _folded(rows, tables, model, DNA.revcomp(right), "rref", model.subtract, "r")
     twin = dict(zip(LETTERS, "TGCA", strict=True))
     return rows.select("word", "ref", *[((F.col(f"f_{c}") + F.col(f"r_{twin[c]}")) / 2).alias(f"p_{c}") for c in LETTERS])
 

@@ -1,41 +1,85 @@
 """Frequent words with diverse neighbours (exact repeats).
 
-Words grow to the left, level by level. A level is a table of occurrences with the letters in front of
-them; words that are rare are dropped, words with one dominant left letter go on, and the others are
-recorded. The occurrences of the next level are those of the words that go on, so each level is a
-semi-join of the one before.
+Both strands are counted from the forward texts: a window and its reverse complement are one row. First
+only a hash of the smaller of the two is counted; windows whose hash is frequent enough are cut again with
+the letters in front of them (and, for the other strand, behind them), and equal ones become one row with
+their number before they are sent. Words then grow to the left level by level over these rows: rare words
+are dropped, words with one dominant left letter go on, the others are recorded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
-from .kmers import windows
-from .ranking import kept, numbered
+from .kmers import STEP, stretches
+from .ranking import forget, kept, numbered
 
+BROADCAST_ROWS = 4_000_000  # frequent hashes that are broadcast, 8 bytes each
 
-def repeat_words(seqs: DataFrame, minlen: int = 25, maxlen: int = 45, min_interval: int = 10, maxfrac: float = 0.8) -> DataFrame:
-    """(word, length, nseq, frac) of recorded words; ``seqs`` should hold both strands."""
+
+def _frequent_windows(seqs: DataFrame, alphabet: Alphabet, k: int, context: int, least: int) -> DataFrame:
+    """(word, left, n): words of k letters on both strands with the up to ``context`` letters in front of
+    them; every word that occurs ``least`` times is there."""
+    cut = stretches(seqs, k - 1 + context, ("sid",), before=context)
+    cut = cut.withColumn("back", alphabet.revcomp(F.col("data").cast("string")).cast("binary"))
+    size = F.octet_length("data")
+    n = F.least(F.lit(STEP), size - F.col("off") - (k - 1))
+
+    def words(p: Column) -> tuple[Column, Column, Column, Column]:
+        """Forward and backward word at place p, and where they start in data and back."""
+        i = F.col("off") + p
+        j = size - i - k
+        return F.substring("data", i + 1, F.lit(k)), F.substring("back", j + 1, F.lit(k)), i, j
+
+    def mark(p: Column) -> Column:
+        forward, back, _, _ = words(p)
+        return F.xxhash64(F.least(forward, back))
+
+    marks = cut.where(n > 0).select("*", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), mark)).alias("p", "mark"))
+    # A word that is its own reverse complement stands for two.
+    often = kept(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= least).select("mark"), "frequent")
+    if often.count() <= BROADCAST_ROWS:
+        found = marks.join(F.broadcast(often), "mark", "left_semi")
+    else:
+        # Only places are sent to meet the hashes; texts are joined to the places found.
+        hits = marks.select("sid", "at", "p", "mark").join(often, "mark", "left_semi")
+        hits = hits.groupBy("sid", "at").agg(F.collect_list("p").alias("ps"))
+        found = cut.join(hits, ["sid", "at"]).withColumn("p", F.explode("ps"))
+    forward, back, i, j = words(F.col("p"))
+
+    def row(word: Column, text: str, at: Column) -> Column:
+        left = F.substring(text, F.greatest(at - context, F.lit(0)) + 1, F.least(at, F.lit(context)))
+        return F.struct(word.cast("string").alias("word"), left.cast("string").alias("left"))
+
+    rows = found.select(F.explode(F.array(row(forward, "data", i), row(back, "back", j))).alias("x"))
+    return rows.groupBy("x.word", "x.left").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeat_words(seqs: DataFrame, alphabet: Alphabet, minlen: int = 25, maxlen: int = 45, min_interval: int = 10, maxfrac: float = 0.8) -> DataFrame:
+    """(word, length, nseq, frac) of recorded words on both strands; rows of ``seqs`` whose strand is -1
+    are left out, as the reverse complement of every forward row is counted."""
     if not (10 <= minlen <= 50 and minlen <= maxlen <= 100):
         raise ValueError("10 <= minlen <= 50 and minlen <= maxlen <= 100 are needed")
-    at = windows(seqs, minlen, (), before=maxlen + 2 - minlen).select("word", "left")
+    level = kept(_frequent_windows(seqs.where("strand > 0"), alphabet, minlen, maxlen + 2 - minlen, min_interval), "level")
     found = None
     for d in range(minlen, maxlen + 2):
-        # Rare words go first; an occurrence carries the letters it can still grow by, so no level
-        # looks at a sequence again.
-        often = at.groupBy("word").agg(F.count(F.lit(1)).alias("width")).where(F.col("width") >= min_interval)
-        level = kept(at.join(often.select("word"), "word", "left_semi").where("left <> ''").select("word", "left", F.substring("left", -1, 1).alias("c")), "level")
-        counts = level.groupBy("word", "c").agg(F.count(F.lit(1)).alias("n"))
-        words = counts.groupBy("word").agg(F.sum("n").alias("nseq"), F.max("n").alias("top")).where(F.col("nseq") >= min_interval)
-        words = kept(words.withColumn("frac", F.col("top") / F.col("nseq")), "words")
+        before = F.substring("left", -1, 1)
+        sums = [F.sum(F.when(before == c, F.col("n"))).alias(f"n_{i}") for i, c in enumerate(alphabet.letters)]
+        words = level.groupBy("word").agg(F.sum("n").alias("width"), F.coalesce(F.sum(F.when(F.col("left") != "", F.col("n"))), F.lit(0)).alias("nseq"), *sums)
+        words = words.where((F.col("width") >= min_interval) & (F.col("nseq") >= min_interval))
+        top = F.greatest(*[F.coalesce(f"n_{i}", F.lit(0)) for i in range(len(alphabet.letters))])
+        words = kept(words.select("word", "nseq", (top / F.col("nseq")).alias("frac")), "words")
         record = words.where(F.col("frac") < maxfrac).select("word", F.lit(d).cast("bigint").alias("length"), "nseq", "frac")
         found = record if found is None else found.unionByName(record)
         on = words.where(F.col("frac") >= maxfrac).select("word")
-        if d == maxlen + 1 or not on.limit(1).count():
+        if d == maxlen + 1 or on.isEmpty():
             break
-        at = level.join(on, "word", "left_semi").select(F.concat("c", "word").alias("word"), F.expr("substring(left, 1, length(left) - 1)").alias("left"))
+        last = level
+        grown = last.where("left <> ''").join(on, "word", "left_semi")
+        level = kept(grown.select(F.concat(before, "word").alias("word"), F.expr("substring(left, 1, length(left) - 1)").alias("left"), "n"), "level")
+        forget(last)
     return found
 
 
@@ -46,7 +90,7 @@ def exact_repeats(seqs: DataFrame, alphabet: Alphabet, minlen: int = 25, maxlen:
     A row is a substring if the next row starts with its word, or if it is longer than ``maxlen``; these
     are left out unless ``printall``.
     """
-    words = repeat_words(seqs, minlen, maxlen, min_interval, maxfrac)
+    words = kept(repeat_words(seqs, alphabet, minlen, maxlen, min_interval, maxfrac), "recorded")
     both = words.withColumn("strand", F.lit("+")).unionByName(words.withColumn("word", alphabet.revcomp(F.col("word"))).withColumn("strand", F.lit("-")))
     # Neighbours in sorted order are found over row numbers, not in one task.
     order = ["code", "strand"]
@@ -59,7 +103,8 @@ def exact_repeats(seqs: DataFrame, alphabet: Alphabet, minlen: int = 25, maxlen:
 
 
 def repeat_fasta(repeats: DataFrame, intervals: DataFrame | None = None, prefix: str = "Repeat") -> DataFrame:
-    """(n, line): header and word of each repeat; ``intervals`` (word, lo, width) adds the rows."""
+    """(n, line): header and word of each repeat; ``intervals`` (word, lo, width) adds the rows of the
+    index that start with the word, the end not included."""
     rows = repeats if intervals is None else repeats.join(intervals, "word", "left")
     at = F.lit("") if intervals is None else F.concat(F.lit(" SI="), F.col("lo").cast("string"), F.lit("-"), (F.col("lo") + F.col("width")).cast("string"))
     mark = F.when(F.col("is_substring"), F.lit(" SUBSTRING")).otherwise(F.lit(""))

@@ -485,21 +485,18 @@ def _repeat_levels() -> str:
 
 @query(f"WITH {_repeat_levels()} SELECT row_number() OVER (ORDER BY {ENC.format('word')}, strand) AS n, word, strand, CAST(length AS BIGINT) AS length, nseq, round(frac, 6) AS frac, is_substring FROM fl WHERE NOT is_substring")
 def exact_repeats(spark, sf_dir):
-    both = kept(sequences.with_revcomp(documents(spark, sf_dir), DNA), "both")
-    return rounded(repeats.exact_repeats(both, DNA, MINLEN, MAXLEN, OFTEN, FRAC), "frac")
+    return rounded(repeats.exact_repeats(documents(spark, sf_dir), DNA, MINLEN, MAXLEN, OFTEN, FRAC), "frac")
 
 
 @query(f"WITH {_repeat_levels()} SELECT word, strand, CAST(length AS BIGINT) AS length, is_substring FROM fl")
 def exact_repeats_all(spark, sf_dir):
-    both = kept(sequences.with_revcomp(documents(spark, sf_dir), DNA), "both")
-    return repeats.exact_repeats(both, DNA, MINLEN, MAXLEN, OFTEN, FRAC, printall=True).select("word", "strand", "length", "is_substring")
+    return repeats.exact_repeats(documents(spark, sf_dir), DNA, MINLEN, MAXLEN, OFTEN, FRAC, printall=True).select("word", "strand", "length", "is_substring")
 
 
 @query(f"""WITH {_repeat_levels()}, p AS (SELECT *, row_number() OVER (ORDER BY {ENC.format('word')}, strand) AS n FROM fl WHERE NOT is_substring)
   SELECT n, '>Repeat' || n || ' strand=' || strand || ' length=' || length || ' nseq=' || nseq || printf(' frac=%.6f', frac) || chr(10) || word AS line FROM p""")
 def repeat_fasta(spark, sf_dir):
-    both = kept(sequences.with_revcomp(documents(spark, sf_dir), DNA), "both")
-    return repeats.repeat_fasta(repeats.exact_repeats(both, DNA, MINLEN, MAXLEN, OFTEN, FRAC))
+    return repeats.repeat_fasta(repeats.exact_repeats(documents(spark, sf_dir), DNA, MINLEN, MAXLEN, OFTEN, FRAC))
 
 
 @query(f"WITH {BENCH} SELECT '>' || name || chr(10) || array_to_string([substr(s, 1 + 70 * i, 70) FOR i IN range(greatest(1, (length(s) + 69) // 70))], chr(10)) AS value FROM bench")
