@@ -47,35 +47,49 @@ def whole_sequences(seqs: DataFrame, alphabet: Alphabet = DNA, revcomp: bool = F
 
 
 def pieces(seqs: DataFrame, features: DataFrame, skip: bool = False) -> DataFrame:
-    """(sid, name, ord, is_feature, start, end, piece): features and what is between them, in order.
+    """(sid, pieces): for every sequence the array of (ord, is_feature, start, end) of its features and
+    what is between them, in order. Only lengths of texts are read.
 
     ``features``: (name, start, end), half-open from 0; ends beyond the text are cut; overlaps are
     emitted twice and leave nothing between.
     """
-    n = F.length("s")
-    rows = seqs.join(features, "name", "inner" if skip else "left").withColumn("start", F.least(F.col("start"), n.cast("bigint"))).withColumn("end", F.least(F.col("end"), n.cast("bigint")))
+    n = F.col("n")
+    rows = seqs.select("sid", "name", F.octet_length("s").cast("bigint").alias("n")).join(features, "name", "inner" if skip else "left")
+    rows = rows.select("sid", "n", F.least(F.col("start"), n).alias("start"), F.least(F.col("end"), n).alias("end"))
     own = Window.partitionBy("sid").orderBy("start", "end")
     rows = rows.withColumn("last_end", F.coalesce(F.lag("end").over(own), F.lit(0).cast("bigint"))).withColumn("k", F.row_number().over(own)).withColumn("m", F.count("start").over(Window.partitionBy("sid")))
     some = F.col("start").isNotNull()
+
+    def piece(place: Column, is_feature: bool, start: Column, end: Column) -> Column:
+        return F.struct(place.alias("ord"), F.lit(is_feature).alias("is_feature"), start.alias("start"), end.alias("end"))
+
     made = F.array(
-        F.when(some, F.struct((2 * F.col("k")).alias("ord"), F.lit(False).alias("is_feature"), F.col("last_end").alias("start"), F.col("start").alias("end"))),
-        F.when(some, F.struct((2 * F.col("k") + 1).alias("ord"), F.lit(True).alias("is_feature"), F.col("start").alias("start"), F.col("end").alias("end"))),
-        F.when(F.col("k") == F.greatest(F.col("m"), F.lit(1)), F.struct((2 * F.col("k") + 2).alias("ord"), F.lit(False).alias("is_feature"), F.when(some, F.col("end")).otherwise(F.lit(0).cast("bigint")).alias("start"), n.cast("bigint").alias("end"))),
+        F.when(some, piece(2 * F.col("k"), False, F.col("last_end"), F.col("start"))),
+        F.when(some, piece(2 * F.col("k") + 1, True, F.col("start"), F.col("end"))),
+        F.when(F.col("k") == F.greatest(F.col("m"), F.lit(1)), piece(2 * F.col("k") + 2, False, F.when(some, F.col("end")).otherwise(F.lit(0).cast("bigint")), n)),
     )
-    rows = rows.select("sid", "name", "s", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x")).select("sid", "name", "s", "x.*")
-    piece = F.when(F.col("end") > F.col("start"), F.substring(F.col("s"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).otherwise(F.lit(""))
-    return rows.select("sid", "name", "ord", "is_feature", "start", "end", piece.alias("piece"))
+    rows = rows.select("sid", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x"))
+    return rows.groupBy("sid").agg(F.array_sort(F.collect_list("x")).alias("pieces"))
 
 
 def edit_intervals(seqs: DataFrame, features: DataFrame, edit: Edit) -> DataFrame:
     """(sid, name, s): edited sequences; with ``split`` one row for each piece, named
-    name_{start + 1}-{end}."""
-    rows = pieces(seqs, features, edit.skip)
-    target = ~F.col("is_feature") if edit.invert else F.col("is_feature")
-    rows = rows.withColumn("out", F.when(target, edit.apply(F.col("piece"))).otherwise(F.col("piece")))
+    name_{start + 1}-{end}.
+
+    A sequence's text is joined once to all its pieces and cut as bytes (letters are ASCII), so the work
+    is that of the letters and the pieces.
+    """
+    rows = seqs.select("sid", "name", F.col("s").cast("binary").alias("data")).join(pieces(seqs, features, edit.skip), "sid")
+
+    def target(p: Column) -> Column:
+        return ~p["is_feature"] if edit.invert else p["is_feature"]
+
+    def text(p: Column) -> Column:
+        own = F.when(p["end"] > p["start"], F.substring("data", (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")).cast("string")).otherwise(F.lit(""))
+        return F.when(target(p), edit.apply(own)).otherwise(own)
+
     if edit.split:
-        name = F.concat("name", F.lit("_"), (F.col("start") + 1).cast("string"), F.lit("-"), F.col("end").cast("string"))
-        chosen = rows.where(target) if not edit.invert else rows.where(target & (F.col("end") > F.col("start")))
-        return chosen.select("sid", name.alias("name"), F.col("out").alias("s"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "out"))), lambda x: x["out"]), "")
-    return rows.groupBy("sid", "name").agg(joined.alias("s"))
+        shown = F.filter("pieces", lambda p: target(p) & (p["end"] > p["start"]) if edit.invert else target(p))
+        rows = rows.select("sid", "name", F.explode(F.transform(shown, lambda p: F.struct((p["start"] + 1).alias("first"), p["end"].alias("last"), text(p).alias("s")))).alias("x"))
+        return rows.select("sid", F.concat("name", F.lit("_"), F.col("x.first").cast("string"), F.lit("-"), F.col("x.last").cast("string")).alias("name"), "x.s")
+    return rows.select("sid", "name", F.array_join(F.transform("pieces", text), "").alias("s"))

@@ -96,8 +96,11 @@ def greedy_matches(queries: DataFrame, corpus: DataFrame, min_len: int, jump: in
     return spans.groupBy("qid").applyInPandas(walk, "qid bigint, qi bigint, ql bigint")
 
 
-def hit_lines(hits: DataFrame, corpus: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
-    """(qid, ord, line): one printed line for each hit, longest matches first."""
+def hit_lines(hits: DataFrame, corpus: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(qid, ord, line): one printed line for each hit, longest matches first. ``starts`` (qid, qi, ql, lo)
+    gives the first row of each match in an index; without an index there is no such row to print."""
     rows = hits.join(corpus.select("sid", "name"), "sid")
+    rows = rows if starts is None else rows.join(starts.select("qid", "qi", "ql", "lo"), ["qid", "qi", "ql"])
     order = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ql"), "qi", "sid", "tpos"))
-    return rows.select("qid", order.alias("ord"), F.format_string("%s pos:%d qi:%d ql:%d", "name", "tpos", "qi", "ql").alias("line"))
+    line = F.format_string("%s pos:%d qi:%d ql:%d", "name", "tpos", "qi", "ql") if starts is None else F.format_string("%s pos:%d start:%d qi:%d ql:%d", "name", "tpos", "lo", "qi", "ql")
+    return rows.select("qid", order.alias("ord"), line.alias("line"))

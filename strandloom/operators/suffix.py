@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import TERMINATOR, Alphabet
-from .kmers import windows
+from .kmers import STEP, stretches, windows
 from .ranking import kept, ranked
 from .sequences import sequence_ranks
 
 FIRST = 16  # letters in the first key
 BLOCK = 1 << 16  # rows between two checkpoints
+FEW_WORDS = 1_000_000
 
 
 def suffix_ranks(ranks: DataFrame, alphabet: Alphabet, first: int = FIRST) -> DataFrame:
@@ -95,13 +96,24 @@ def inverse_lf(sa: DataFrame) -> DataFrame:
 
 def rank_all(sa: DataFrame, probes: DataFrame, alphabet: Alphabet, block: int = BLOCK) -> DataFrame:
     """(k, bwt, lf): for each row number k of ``probes`` the first row that each letter's suffixes
-    before k map to: C[c] + occurrences of c in rows below k."""
+    before k map to: C[c] + occurrences of c in rows below k.
+
+    Probes and rows of the blocks they are in are sorted together once, with a running count of each
+    letter, so the work is that of the rows touched and the probes, however many share a block.
+    """
     rows = sa.select("row", "bwt", F.floor(F.col("row") / block).alias("block"))
     starts, marks = letter_starts(rows, alphabet), occ_checkpoints(rows, block)
     top = rows.agg(F.max("block").alias("last"))
-    asked = probes.select("k").distinct().crossJoin(F.broadcast(top)).withColumn("block", F.least(F.floor(F.col("k") / block), F.col("last")))
-    inside = asked.join(rows, "block").where("row < k").groupBy("k", "bwt").agg(F.count(F.lit(1)).alias("own"))
-    return asked.join(marks, "block").join(F.broadcast(starts), "bwt").join(inside, ["k", "bwt"], "left").select("k", "bwt", (F.col("c") + F.col("occ") + F.coalesce("own", F.lit(0))).alias("lf"))
+    asked = probes.select("k").distinct().crossJoin(F.broadcast(top)).select("k", F.least(F.floor(F.col("k") / block), F.col("last")).alias("block"))
+    touched = rows.join(asked.select("block").distinct(), "block", "left_semi")
+    # A probe comes before the row of its number.
+    both = asked.select("block", F.col("k").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("c"))
+    both = both.unionByName(touched.select("block", F.col("row").alias("at"), F.lit(1).alias("kind"), F.col("bwt").alias("c")))
+    running = Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = [F.struct(F.lit(c).alias("bwt"), F.count(F.when(F.col("c") == c, 1)).over(running).alias("own")) for c in (TERMINATOR, *alphabet.letters)]
+    inside = both.select("block", "at", "kind", F.array(*own).alias("x")).where("kind = 0")
+    inside = inside.select(F.col("at").alias("k"), "block", F.explode("x").alias("x")).select("k", "block", "x.bwt", "x.own")
+    return inside.join(marks, ["block", "bwt"]).join(F.broadcast(starts), "bwt").select("k", "bwt", (F.col("c") + F.col("occ") + F.col("own")).alias("lf"))
 
 
 def extend_backward(sa: DataFrame, intervals: DataFrame, alphabet: Alphabet) -> DataFrame:
@@ -129,16 +141,19 @@ def word_intervals(sa: DataFrame, seqs: DataFrame, lengths: list[int]) -> DataFr
 
 
 def lookup(sa: DataFrame, seqs: DataFrame, words: DataFrame) -> DataFrame:
-    """(word, lo, width) for each asked word, 0 and 0 for words that do not occur. Words are grouped by
-    length, one equi-join per length."""
-    lengths = [r[0] for r in words.select(F.length("word").alias("k")).distinct().where("k > 0").collect()]
-    asked = words.select("word").distinct()
+    """(word, lo, width) for each asked word, 0 and 0 for words that do not occur.
+
+    The corpus is read once whatever the lengths of the words; what is collected is their distinct
+    lengths, no more than the longest word has letters. Up to FEW_WORDS words are broadcast.
+    """
+    asked = kept(words.select("word").distinct(), "asked")
+    lengths, n = asked.where("word <> ''").agg(F.collect_set(F.length("word")), F.count(F.lit(1))).first()
     if not lengths:
         return asked.select("word", F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("width"))
-    hits = None
-    for k in lengths:
-        found = windows(seqs, k).join(asked.where(F.length("word") == k), "word")
-        hits = found if hits is None else hits.unionByName(found)
+    every = F.array(*[F.lit(k) for k in sorted(lengths)])
+    heads = windows(seqs, max(lengths), short=True)
+    heads = heads.select("sid", "pos", F.explode(F.transform(F.filter(every, lambda k: k <= F.octet_length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("word"))
+    hits = heads.join(F.broadcast(asked) if n <= FEW_WORDS else asked, "word")
     found = hits.join(sa.select("sid", "pos", "row"), ["sid", "pos"]).groupBy("word").agg(F.min("row").alias("lo"), F.count(F.lit(1)).alias("width"))
     return asked.join(found, "word", "left").select("word", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("width", F.lit(0)).alias("width"))
 
@@ -167,9 +182,15 @@ def reconstruct(sa: DataFrame) -> DataFrame:
 
 
 def forward_walk(sa: DataFrame, seqs: DataFrame, limit: int = 500) -> DataFrame:
-    """(row, text): the suffix of each row up to ``limit`` letters, with the terminator where it ends."""
-    s = seqs.select("sid", "s")
-    return sa.join(s, "sid").select("row", F.substring(F.concat("s", F.lit(TERMINATOR)), F.col("pos").cast("int") + 1, F.lit(limit)).alias("text"))
+    """(row, text): the suffix of each row up to ``limit`` letters, with the terminator where it ends.
+
+    Rows meet stretches of the texts, not whole sequences: the work for a row is ``limit`` letters, and a
+    long sequence is many keys.
+    """
+    needed = seqs.join(sa.select("sid").distinct(), "sid", "left_semi").select("sid", F.concat("s", F.lit(TERMINATOR)).alias("s"))
+    cut = stretches(needed, limit - 1).select("sid", F.col("at").cast("bigint").alias("at"), "data")
+    rows = sa.select("row", "sid", "pos", (F.col("pos") - F.col("pos") % STEP).cast("bigint").alias("at")).join(cut, ["sid", "at"])
+    return rows.select("row", F.substring("data", (F.col("pos") - F.col("at") + 1).cast("int"), F.lit(limit)).cast("string").alias("text"))
 
 
 def first_letters(sa: DataFrame, seqs: DataFrame) -> DataFrame:
@@ -190,8 +211,8 @@ def row_dump(sa: DataFrame, seqs: DataFrame, start: int, length: int, up: int =
     """(row, line): rows start - up .. start + length + down - 1 in a small format language.
 
     Letters with an optional width: b row, i position, l signed length, f LF row (numbers, 10 wide), pN
-    the N - 1 letters before the BWT letter (6), B the BWT letter, sN the suffix (30), n the name; other
-    characters stand for themselves.
+    the N - 1 letters before the BWT letter (6), B the BWT letter, sN N letters of the suffix (30), n the
+    name; other characters stand for themselves. Terminators stand for letters beyond either end.
     """
     import re
 
@@ -212,7 +233,7 @@ def row_dump(sa: DataFrame, seqs: DataFrame, start: int, length: int, up: int =
         elif kind == "B":
             parts.append(F.col("bwt"))
         elif kind == "s":
-            parts.append(F.substring(F.concat("s", F.lit(TERMINATOR)), F.col("pos").cast("int") + 1, F.lit(w)))
+            parts.append(F.rpad(F.substring("s", F.col("pos").cast("int") + 1, F.lit(w)), w, TERMINATOR))
         else:
             parts.append(F.col("name"))
     nseq = seqs.agg(F.count(F.lit(1)).alias("nseq"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet
-from ..operators import search, suffix
+from ..operators import repeats, search, suffix
 from ..operators.ranking import kept
 from ..operators.sequences import reversed_set, sequence_ranks, with_revcomp
 
@@ -49,9 +49,25 @@ class SequenceIndex:
     def lookup(self, words: DataFrame) -> DataFrame:
         return suffix.lookup(self.sa, self.seqs, words)
 
-    def max_matches(self, queries: DataFrame, min_len: int = 5, max_match: int = 0, compat: bool = False) -> DataFrame:
-        """(qid, qi, ql, lo, width): maximal matches with the rows they start at."""
+    def _hits(self, queries: DataFrame, min_len: int, max_match: int, compat: bool) -> tuple[DataFrame, DataFrame]:
+        """Places of the matches, and (qid, qi, ql, lo, width)."""
         queries = queries.withColumn("s", self.alphabet.clean(F.col("s")))
-        hits = search.match_hits(queries, self.seqs, min_len, max_match, compat)
+        hits = kept(search.match_hits(queries, self.seqs, min_len, max_match, compat), "hits")
         rows = hits.join(self.sa.select("sid", F.col("pos").alias("tpos"), "row"), ["sid", "tpos"])
-        return rows.groupBy("qid", "qi", "ql").agg(F.min("row").alias("lo"), F.count(F.lit(1)).alias("width"))
+        return hits, rows.groupBy("qid", "qi", "ql").agg(F.min("row").alias("lo"), F.count(F.lit(1)).alias("width"))
+
+    def max_matches(self, queries: DataFrame, min_len: int = 5, max_match: int = 0, compat: bool = False) -> DataFrame:
+        """(qid, qi, ql, lo, width): maximal matches with the rows they start at."""
+        return self._hits(queries, min_len, max_match, compat)[1]
+
+    def hit_lines(self, queries: DataFrame, min_len: int = 5, max_match: int = 0, compat: bool = False) -> DataFrame:
+        """(qid, ord, line): one printed line for each place of each match."""
+        hits, matches = self._hits(queries, min_len, max_match, compat)
+        return search.hit_lines(hits, self.seqs, matches)
+
+    def repeat_fasta(self, minlen: int = 25, maxlen: int = 45, min_interval: int = 10, maxfrac: float = 0.8, printall: bool = False, prefix: str = "Repeat") -> DataFrame:
+        """(n, line): repeats with the rows that start with them, for an index of both strands."""
+        if not self.revcomp:
+            raise ValueError("repeats need an index of both strands")
+        found = kept(repeats.exact_repeats(self.seqs, self.alphabet, minlen, maxlen, min_interval, maxfrac, printall), "repeats")
+        return repeats.repeat_fasta(found, self.lookup(found.select("word")), prefix)

@@ -11,7 +11,6 @@ from ..operators import predict as prediction
 from ..operators import repeats as mining
 from ..operators import suffix
 from ..operators.ranking import kept
-from ..operators.search import hit_lines, match_hits
 from ..sources.fasta import fasta_lines
 from .index import SequenceIndex
 
@@ -64,8 +63,7 @@ def find(index: SequenceIndex, queries: DataFrame, min_len: int = 5, max_match:
     """Maximal matches (qid, qi, ql, lo, width) of query texts (sid, s), or their printed lines."""
     if not lines:
         return index.max_matches(queries, min_len, max_match, compat)
-    cleaned = queries.withColumn("s", index.alphabet.clean(F.col("s")))
-    return hit_lines(match_hits(cleaned, index.seqs, min_len, max_match, compat), index.seqs)
+    return index.hit_lines(queries, min_len, max_match, compat)
 
 
 def mine_repeats(index: SequenceIndex, *, minlen: int = 25, maxlen: int = 45, min_interval: int = 10, maxfrac: float = 0.8, printall: bool = False) -> DataFrame:

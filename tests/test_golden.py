@@ -212,7 +212,7 @@ def test_frontier(spark, sa, corpus):
 
 def test_row_dump(sa, corpus):
     line = {r["row"]: r["line"] for r in suffix.row_dump(sa, corpus, 4, 3).collect()}[4]
-    assert line == "         4         4         8 *AAC C ACGT*"
+    assert line == "         4         4         8 *AAC C ACGT" + "*" * 26
 
 
 def test_programs(spark, corpus):
@@ -226,7 +226,7 @@ def test_programs(spark, corpus):
     assert {r["value"] for r in programs.inspect_sequences(index, -1).collect()} == {"s1 ACGTACGTTN", "s2 AACCACGT"}
     assert {tuple(r) for r in programs.inspect_names(index).collect()} == {(0, 8, 1, "s2"), (1, 10, 0, "s1")}
     qs = table(spark, [("a", "acgtaccacg")])
-    assert {r["line"] for r in programs.find(index, qs, 3, lines=True).collect()} == {"s2 pos:1 qi:4 ql:6", "s1 pos:0 qi:0 ql:6"}
+    assert {r["line"] for r in programs.find(index, qs, 3, lines=True).collect()} == {"s2 pos:1 start:3 qi:4 ql:6", "s1 pos:0 start:5 qi:0 ql:6"}
     with pytest.raises(ValueError):
         programs.mine_repeats(index)
     sites = programs.predict(corpus, kmin=1, kmax=2, alpha=1.0, name="s2")
