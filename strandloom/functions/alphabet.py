@@ -134,3 +134,8 @@ def argmax_letter(p: list[Column], letters: str = "ACGT") -> Column:
     for x, c in reversed(list(zip(p, letters, strict=True))):
         out = F.when(x >= top, F.lit(c)).otherwise(out)
     return out
+
+
+def six_digits(x: Column) -> Column:
+    """The number with six decimals; exact ties go to the even digit, as in C."""
+    return F.format_string("%.6f", F.bround(x, 6))

@@ -39,8 +39,9 @@ def identical_kids(parents: DataFrame, kids: DataFrame) -> DataFrame:
 
 
 def promote(kids: DataFrame, alphabet: Alphabet) -> DataFrame:
-    """Non-empty kids in alphabetical order, each interval once."""
-    return kids.where("width > 0").dropDuplicates(["lo", "width"]).orderBy(alphabet.encode(F.col("word")))
+    """Non-empty kids (word, lo, width, ...) in alphabetical order, each interval once: the first word of it."""
+    first = F.row_number().over(Window.partitionBy("lo", "width").orderBy(alphabet.encode(F.col("word"))))
+    return kids.where("width > 0").withColumn("__first", first).where("__first = 1").drop("__first").orderBy(alphabet.encode(F.col("word")))
 
 
 PIECE = 1 << 16  # rows of an interval that are one array

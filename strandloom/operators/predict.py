@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import DNA, argmax_letter, entropy
+from ..functions.alphabet import DNA, argmax_letter, entropy, six_digits
 from .kmers import acgt, windows, with_twins
 from .ranking import kept
 
@@ -107,7 +107,7 @@ def site_probabilities(corpus: DataFrame, seqs: DataFrame, model: Model) -> Data
 
 def vcf_rows(sites: DataFrame) -> DataFrame:
     """The columns of a VCF file."""
-    info = F.format_string("E=%.6f;P=%.6f,%.6f,%.6f,%.6f", "entropy", *[f"p_{c}" for c in LETTERS])
+    info = F.concat(F.lit("E="), six_digits(F.col("entropy")), F.lit(";P="), F.concat_ws(",", *[six_digits(F.col(f"p_{c}")) for c in LETTERS]))
     return sites.select(F.col("name").alias("CHROM"), F.col("pos").alias("POS"), F.col("window").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"), F.col("p_ref").alias("QUAL"), F.when(F.col("alt") == F.col("ref"), "PASS").otherwise("no").alias("FILTER"), info.alias("INFO"))
 
 

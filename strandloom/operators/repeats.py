@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import Alphabet
+from ..functions.alphabet import Alphabet, six_digits
 from .kmers import STEP, stretches
 from .ranking import forget, kept, numbered
 
@@ -107,6 +107,6 @@ def repeat_fasta(repeats: DataFrame, intervals: DataFrame | None = None, prefix:
     index that start with the word, the end not included."""
     rows = repeats if intervals is None else repeats.join(intervals, "word", "left")
     at = F.lit("") if intervals is None else F.concat(F.lit(" SI="), F.col("lo").cast("string"), F.lit("-"), (F.col("lo") + F.col("width")).cast("string"))
-    mark = F.when(F.col("is_substring"), F.lit(" SUBSTRING")).otherwise(F.lit(""))
-    head = F.concat(F.lit(f">{prefix}"), F.col("n").cast("string"), mark, F.lit(" strand="), "strand", at, F.format_string(" length=%d nseq=%d frac=%.6f", "length", "nseq", "frac"))
+    mark = F.when(F.col("is_substring"), F.lit(" SUBSTRING ")).otherwise(F.lit(""))
+    head = F.concat(F.lit(f">{prefix}"), F.col("n").cast("string"), mark, F.lit(" strand="), "strand", at, F.format_string(" length=%d nseq=%d frac=", "length", "nseq"), six_digits(F.col("frac")))
     return rows.select("n", F.concat(head, F.lit("\n"), "word").alias("line"))

@@ -264,7 +264,7 @@ def word_lookup(spark, sf_dir, corpus=benchmark):
 
 
 @query(f"""WITH {SA} SELECT row, lpad(CAST(row AS VARCHAR), 10, ' ') || lpad(CAST(pos AS VARCHAR), 10, ' ') || lpad(CAST(length(s) AS VARCHAR), 10, ' ') || ' ' ||
-  lpad(right(CASE WHEN pos = 0 THEN '' WHEN row < (SELECT count(*) FROM bench) THEN left(s, length(s) - 1) ELSE left(s, CAST(pos AS INTEGER) - 1) END, 4), 4, '*') || ' ' || bwt || ' ' || substr(s || '*', CAST(pos AS INTEGER) + 1, 30) AS line
+  lpad(right(CASE WHEN pos = 0 THEN '' WHEN row < (SELECT count(*) FROM bench) THEN left(s, length(s) - 1) ELSE left(s, CAST(pos AS INTEGER) - 1) END, 4), 4, '*') || ' ' || bwt || ' ' || rpad(substr(s, CAST(pos AS INTEGER) + 1, 30), 30, '*') AS line
   FROM sa JOIN bench USING (sid) WHERE row BETWEEN 190 AND 309""")
 def row_dump(spark, sf_dir):
     return suffix.row_dump(*index(spark, sf_dir), start=200, length=100, up=10, down=10)
@@ -295,6 +295,54 @@ def identical_kids(spark, sf_dir):
     return frontier.identical_kids(parents, suffix.extend_backward(sa, parents, DNA))
 
 
+@query(f"""WITH {SA}, {_grams('g3', 'bench', 3)}, {_grams('g4', 'bench', 4)}, w AS ({_intervals(3)} UNION ALL {_intervals(4)})
+  SELECT word, lo, width FROM w QUALIFY row_number() OVER (PARTITION BY lo, width ORDER BY {ENC.format('word')}) = 1""")
+def promoted_kids(spark, sf_dir):
+    """Words of three and four letters, each interval once."""
+    sa, seqs = index(spark, sf_dir)
+    parents = kept(suffix.word_intervals(sa, seqs, [3]), "parents")
+    return frontier.promote(parents.unionByName(suffix.extend_backward(sa, parents, DNA)), DNA)
+
+
+def _beyond(name: str, one: str, two: str) -> str:
+    return f"CASE WHEN wins AND {one} = letter THEN CASE WHEN {two} = letter THEN 2 ELSE 1 END ELSE 0 END AS {name}"
+
+
+@query(f"""WITH {SA}, {_grams('g2', 'bench', 2)}, p AS ({_intervals(2)}),
+  k AS (SELECT word AS parent, bwt AS letter, min(lf) AS klo, count(*) AS t, string_agg(CAST(row - lo AS VARCHAR), ',' ORDER BY row) AS index FROM p JOIN sa ON row >= lo AND row < lo + width WHERE bwt <> '*' GROUP BY 1, 2),
+  m AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY t DESC, {ENC.format('letter')}) = 1 AND t >= 0.4 * sum(t) OVER (PARTITION BY parent) AS wins FROM k),
+  grow AS (SELECT m.*, {_beyond('n', 'a.bwt', 'b.bwt')}, {_beyond('s', 'c.bwt', 'd.bwt')} FROM m JOIN p ON p.word = m.parent
+    LEFT JOIN sa a ON a.row = lo - 1 LEFT JOIN sa b ON b.row = lo - 2 LEFT JOIN sa c ON c.row = lo + width LEFT JOIN sa d ON d.row = lo + width + 1)
+  SELECT parent, letter, klo - n AS lo, t + n + s AS width, repeat('-1,', CAST(n AS INTEGER)) || index || repeat(',-1', CAST(s AS INTEGER)) AS index,
+    max(CASE WHEN wins THEN n + s ELSE -1 END) OVER (PARTITION BY parent) AS grown FROM grow""")
+def expand_intervals(spark, sf_dir):
+    """Kids of all words of two letters; the majority kid takes up to two rows on either side."""
+    sa, seqs = index(spark, sf_dir)
+    parents = kept(suffix.word_intervals(sa, seqs, [2]).select(F.col("word").alias("parent"), "lo", "width"), "parents")
+    found = frontier.track(sa, parents.withColumn("index", F.lit(None).cast("array<int>"))).where("letter <> '*'")
+    first = sa.join(F.broadcast(parents.select("parent", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("width") - 1)).alias("row"))), "row")
+    first = first.groupBy("parent", F.col("bwt").alias("letter")).agg(F.min("lf").alias("lo"), F.count(F.lit(1)).alias("width"))
+    index_ = F.transform(F.array_sort(F.collect_list(F.struct("kid_index", "index"))), lambda x: x["index"])
+    kids = first.join(found.groupBy("parent", "letter").agg(index_.alias("index")), ["parent", "letter"])
+    out = frontier.expand(sa, parents, kids, min_len=2, north=2, south=2, frac=0.4)
+    return out.select("parent", "letter", "lo", "width", F.array_join(F.transform("index", lambda i: i.cast("string")), ",").alias("index"), "grown")
+
+
+@query(f"WITH {SA}, {_grams('g3', 'bench', 3)} SELECT x.word, x.lo, x.width, (SELECT count(*) FROM sa) AS rows, (SELECT CAST(sum(lf) AS BIGINT) FROM sa) AS sum_lf, (SELECT count(*) FROM bench) AS sequences FROM ({_intervals(3)}) x")
+def saved_index(spark, sf_dir):
+    """An index written to files and read back: all its words of three letters, and totals."""
+    import uuid
+
+    from ..operators.ranking import shared_folder
+
+    path = f"{shared_folder(spark).rstrip('/')}/saved-{uuid.uuid4().hex}"
+    SequenceIndex.build(benchmark(spark, sf_dir), DNA).save(path)
+    again = SequenceIndex.load(spark, path)
+    words = kmers.windows(again.seqs, 3).select("word").distinct()
+    totals = again.sa.agg(F.count(F.lit(1)).alias("rows"), F.sum("lf").alias("sum_lf")).crossJoin(again.seqs.agg(F.count(F.lit(1)).alias("sequences")))
+    return again.lookup(words).crossJoin(F.broadcast(totals))
+
+
 # --- search ---------------------------------------------------------------------------------------
 SEED = 24
 
@@ -356,6 +404,16 @@ def indexed_matches(spark, sf_dir):
     return SequenceIndex.build(seqs, DNA).max_matches(sequences.reversed_set(seqs), 8)
 
 
+@query(f"""WITH {_reversed_matches(8)}, {SA.split(', r0 AS', 1)[1].join(['r0 AS', ''])},
+  st AS (SELECT qid, qi, ql, min(row) AS lo FROM mx JOIN runs USING (qid, qi, qe) JOIN sa ON sa.sid = runs.sid AND sa.pos = runs.tpos GROUP BY qid, qi, ql)
+  SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ql DESC, qi, sid, tpos) AS ord, sid || ' pos:' || tpos || ' start:' || lo || ' qi:' || qi || ' ql:' || ql AS line FROM mx JOIN runs USING (qid, qi, qe) JOIN st USING (qid, qi, ql)""")
+def indexed_hit_lines(spark, sf_dir):
+    """Reversed passages searched in an index of the passages, printed with the first row of each match."""
+    seqs = benchmark(spark, sf_dir)
+    lines = SequenceIndex.build(seqs, DNA).hit_lines(sequences.reversed_set(seqs), 8)
+    return lines.select("qid", F.col("ord").cast("bigint").alias("ord"), "line")
+
+
 # --- prediction -----------------------------------------------------------------------------------
 def _counts(corpus: str, k: int, markov: bool) -> str:
     size = k + 1 if markov else 2 * k + 1
@@ -423,9 +481,10 @@ def bidirectional_probs(spark, sf_dir, corpus=benchmark):
     return _shown(predict.site_probabilities(seqs, seqs, predict.Model(markov=True, both=True)))
 
 
-@query(f"""WITH {CENTRAL}, v AS (SELECT *, {BEST} AS alt, {ENTROPY} AS e FROM pr) SELECT name AS "CHROM", pos AS "POS", w AS "ID", ref AS "REF", alt AS "ALT", round({OWN}, 6) AS "QUAL", CASE WHEN alt = ref THEN 'PASS' ELSE 'no' END AS "FILTER" FROM v""")
+@query(f"""WITH {CENTRAL}, v AS (SELECT *, {BEST} AS alt, {ENTROPY} AS e FROM pr) SELECT name AS "CHROM", pos AS "POS", w AS "ID", ref AS "REF", alt AS "ALT", round({OWN}, 6) AS "QUAL", CASE WHEN alt = ref THEN 'PASS' ELSE 'no' END AS "FILTER",
+  printf('E=%.6f;P=%.6f,%.6f,%.6f,%.6f', e, p_A, p_C, p_G, p_T) AS "INFO" FROM v""")
 def vcf_sites(spark, sf_dir, corpus=benchmark):
-    return rounded(predict.vcf_rows(_central(spark, sf_dir, corpus)), "QUAL").drop("INFO")
+    return rounded(predict.vcf_rows(_central(spark, sf_dir, corpus)), "QUAL")
 
 
 @query(f"WITH {CENTRAL} SELECT count(*) AS total, count(*) FILTER ({BEST} = ref) AS correct, round(count(*) FILTER ({BEST} = ref) / count(*), 6) AS fraction FROM pr")
@@ -470,8 +529,8 @@ for _f in (central_probs, bidirectional_probs, vcf_sites, prediction_accuracy, w
 MINLEN, MAXLEN, OFTEN, FRAC = 25, 45, 10, 0.8
 
 
-def _repeat_levels() -> str:
-    out = [f"{DOCS}, both_ AS (SELECT sid, s FROM docs UNION ALL SELECT -1 - sid, {RC.format('s')} FROM docs)", _grams(f"o{MINLEN}", "both_", MINLEN)]
+def _repeat_levels(view: str = DOCS, corpus: str = "docs", MINLEN: int = MINLEN, MAXLEN: int = MAXLEN, OFTEN: int = OFTEN) -> str:  # noqa: N803
+    out = [f"{view}, both_ AS (SELECT sid, s FROM {corpus} UNION ALL SELECT -1 - sid, {RC.format('s')} FROM {corpus})", _grams(f"o{MINLEN}", "both_", MINLEN)]
     for d in range(MINLEN, MAXLEN + 2):
         out.append(f"l{d} AS (SELECT o.sid, o.pos, o.word, CASE WHEN o.pos > 0 THEN substr(b.s, CAST(o.pos AS INTEGER), 1) END AS c FROM o{d} o JOIN both_ b USING (sid) WHERE o.word IN (SELECT word FROM o{d} GROUP BY word HAVING count(*) >= {OFTEN}))")
         out.append(f"w{d} AS (SELECT word, CAST(sum(n) AS BIGINT) AS nseq, max(n) / sum(n) AS frac FROM (SELECT word, c, count(*) AS n FROM l{d} WHERE c IS NOT NULL GROUP BY 1, 2) GROUP BY word HAVING sum(n) >= {OFTEN})")
@@ -499,6 +558,45 @@ def repeat_fasta(spark, sf_dir):
     return repeats.repeat_fasta(repeats.exact_repeats(documents(spark, sf_dir), DNA, MINLEN, MAXLEN, OFTEN, FRAC))
 
 
+BENCH2 = BENCH.replace("bench AS", "bench0 AS", 1) + f", bench AS (SELECT sid, name, s FROM bench0 UNION ALL SELECT sid + (SELECT max(sid) + 1 FROM bench0), name, {RC.format('s')} FROM bench0)"
+SA2 = SA.replace(BENCH, BENCH2, 1)
+
+
+@query(f"""WITH {_repeat_levels(SA2, 'bench0', 10, 14, 4)}, p AS (SELECT *, row_number() OVER (ORDER BY {ENC.format('word')}, strand) AS n FROM fl WHERE NOT is_substring),
+  {', '.join(_grams(f'g{k}', 'bench', k) for k in range(10, 15))}, iv AS ({' UNION ALL '.join(_intervals(k) for k in range(10, 15))})
+  SELECT n, '>Repeat' || n || ' strand=' || strand || ' SI=' || lo || '-' || (lo + width) || ' length=' || length || ' nseq=' || nseq || printf(' frac=%.6f', frac) || chr(10) || word AS line FROM p JOIN iv USING (word)""")
+def indexed_repeat_fasta(spark, sf_dir):
+    """Short repeats of the passages with their rows in an index of both strands."""
+    return SequenceIndex.build(benchmark(spark, sf_dir), DNA, revcomp=True).repeat_fasta(10, 14, 4, FRAC)
+
+
+@query(f"WITH {BENCH} SELECT sid, row_number() OVER (ORDER BY sid) - 1 AS place, name, s, CAST(1 AS TINYINT) AS strand FROM bench")
+def fasta_files(spark, sf_dir):
+    """Sequences written as FASTA files and read back in order."""
+    import uuid
+
+    from ..operators.ranking import shared_folder
+    from ..sources.fasta import read_fasta, write_fasta
+
+    path = f"{shared_folder(spark).rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    seqs = benchmark(spark, sf_dir)
+    write_fasta(seqs, path)
+    return read_fasta(spark, path, DNA).select(F.col("name").cast("bigint").alias("sid"), F.col("sid").alias("place"), "name", "s", "strand")
+
+
+@query(f"WITH {BENCH} SELECT row_number() OVER (ORDER BY sid) - 1 AS sid, CAST(row_number() OVER (ORDER BY sid) - 1 AS VARCHAR) AS name, s FROM bench")
+def query_files(spark, sf_dir):
+    """Passages written as query lines and read back in order."""
+    import uuid
+
+    from ..operators.ranking import shared_folder
+    from ..sources.fasta import read_queries
+
+    path = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    benchmark(spark, sf_dir).repartitionByRange(3, "sid").sortWithinPartitions("sid").select(F.lower("s").alias("value")).write.text(path)
+    return read_queries(spark, path, DNA).select("sid", "name", "s")
+
+
 @query(f"WITH {BENCH} SELECT '>' || name || chr(10) || array_to_string([substr(s, 1 + 70 * i, 70) FOR i IN range(greatest(1, (length(s) + 69) // 70))], chr(10)) AS value FROM bench")
 def fasta_lines(spark, sf_dir):
     from ..sources.fasta import fasta_lines as lines
@@ -510,12 +608,12 @@ def fasta_lines(spark, sf_dir):
 BED = """bed AS (SELECT CAST(item_id AS VARCHAR) AS name, CAST(item_id % 7 + k * 40 AS BIGINT) AS "start", CAST(item_id % 7 + k * 40 + 5 + item_id % 11 AS BIGINT) AS "end" FROM benchmark, (SELECT unnest(range(3)) AS k) WHERE item_id % 5 <> 4)"""
 
 
-def _bed(spark, sf_dir) -> DataFrame:
-    """Three intervals on four of five benchmark items."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id").where("item_id % 5 <> 4")
+def _bed(spark, sf_dir, table: str = "benchmark", sid: str = "item_id") -> DataFrame:
+    """Three intervals on four of five items."""
+    items = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.col(sid).alias("item")).where("item % 5 <> 4")
     rows = items.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(3)])))
-    start = F.col("item_id") % 7 + F.col("k") * 40
-    return rows.select(F.col("item_id").cast("string").alias("name"), start.cast("bigint").alias("start"), (start + 5 + F.col("item_id") % 11).cast("bigint").alias("end"))
+    start = F.col("item") % 7 + F.col("k") * 40
+    return rows.select(F.col("item").cast("string").alias("name"), start.cast("bigint").alias("start"), (start + 5 + F.col("item") % 11).cast("bigint").alias("end"))
 
 
 def _edit_sql(feature: str, between: str, skip: bool = False) -> str:
@@ -562,6 +660,25 @@ def case_mask_inverted(spark, sf_dir):
     return _edited(spark, sf_dir, lower=True, invert=True)
 
 
+@query(_edit_sql("x", "lower(x)"))
+def case_upper(spark, sf_dir):
+    """Features of lower-case sequences in upper case."""
+    return edit.edit_intervals(benchmark(spark, sf_dir).withColumn("s", F.lower("s")), _bed(spark, sf_dir), edit.Edit(upper=True))
+
+
+@query(_edit_sql("x", "x"))
+def plain_regions(spark, sf_dir):
+    """Features without an option: the sequences as they are."""
+    return _edited(spark, sf_dir)
+
+
+@query(re.sub(r"\bbench\b", "docs", _edit_sql("lower(x)", "x").replace(BENCH, DOCS).replace(BED, BED.replace("benchmark", "documents").replace("item_id", "doc_id"))).replace("SELECT sid, name, string_agg", "SELECT sid, name, md5(string_agg").replace("'' ORDER BY o) AS s", "'' ORDER BY o)) AS digest"))
+def documents_case_mask(spark, sf_dir):
+    """Three intervals on four of five documents in lower case."""
+    out = edit.edit_intervals(documents(spark, sf_dir), _bed(spark, sf_dir, "documents", "doc_id"), edit.Edit(lower=True))
+    return out.select("sid", "name", F.md5("s").alias("digest"))
+
+
 @query(_edit_sql("repeat('N', length(x))", "x"))
 def mask_char(spark, sf_dir):
     return _edited(spark, sf_dir, new_char="N")
@@ -623,9 +740,10 @@ def kmer_numbers(spark, sf_dir):
     return words.withColumn("number", word_number(F.col("word"), "ACGT")).withColumn("again", number_word(F.col("number"), "ACGT", 6))
 
 
-@query()
+@query(f"WITH {_matches()} SELECT qid, qi, ql, width FROM mx")
 def streaming_search(spark, sf_dir):
-    """Benchmark passages as a stream of queries against the documents; rows of all micro-batches."""
+    """Benchmark passages as a stream of queries against the documents; rows of all micro-batches. A batch
+    that is tried again replaces its rows."""
     import uuid
 
     from ..operators.ranking import shared_folder
@@ -637,6 +755,6 @@ def streaming_search(spark, sf_dir):
     source = source.withColumn("text", F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), LOWER, MAPPED))
     source.write.parquet(f"{path}/in")
     lines = spark.readStream.schema(source.schema).parquet(f"{path}/in")
-    done = search_stream(lines, corpus, DNA, lambda df, batch: df.write.mode("append").parquet(f"{path}/out"), id_col="item_id", text_col="text", min_len=SEED, checkpoint=f"{path}/state")
+    done = search_stream(lines, corpus, DNA, lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}"), id_col="item_id", text_col="text", min_len=SEED, checkpoint=f"{path}/state")
     done.awaitTermination()
-    return spark.read.schema("qid bigint, qi bigint, ql bigint, width bigint").parquet(f"{path}/out")
+    return spark.read.schema("qid bigint, qi bigint, ql bigint, width bigint, batch bigint").parquet(f"{path}/out").drop("batch")

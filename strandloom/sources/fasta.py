@@ -6,14 +6,17 @@ row and must fit in a task.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ..functions.alphabet import Alphabet
+from ..functions.alphabet import Alphabet, six_digits
 from ..operators.ranking import numbered
 
 
@@ -40,8 +43,8 @@ def read_fasta(spark: SparkSession, path: str, alphabet: Alphabet) -> DataFrame:
 
 def read_queries(spark: SparkSession, path: str, alphabet: Alphabet) -> DataFrame:
     """(sid, name, s, strand): one query per line, of any length."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    rows = numbered(rows, ["file", "at"], "sid")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = numbered(rows, ["file", "block", "at"], "sid")
     return rows.select("sid", F.col("sid").cast("string").alias("name"), alphabet.clean(F.col("value")).alias("s"), F.lit(1).cast("tinyint").alias("strand"))
 
 
@@ -73,23 +76,34 @@ def write_fasta(seqs: DataFrame, path: str, width: int = 70) -> None:
 VCF_HEADER = "##fileformat=VCFv4.3\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
 
 
+def vcf_line() -> Column:
+    return F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ID", "REF", "ALT", six_digits(F.col("QUAL")), "FILTER", "INFO")
+
+
 def vcf_lines(rows: DataFrame) -> DataFrame:
-    """(value): one line per site; the header goes first in every file that is written."""
-    return rows.select(F.concat_ws("\t", "CHROM", F.col("POS").cast("string"), "ID", "REF", "ALT", F.format_string("%.6f", "QUAL"), "FILTER", "INFO").alias("value"))
+    """(value): one line per site, without the header."""
+    return rows.select(vcf_line().alias("value"))
 
 
 def write_vcf(rows: DataFrame, path: str) -> None:
-    """Text files under ``path``; the header is a file of its own, written first."""
+    """Text files under ``path`` in the order of sites. The header is the first line of the first file, so
+    the files one after the other are one VCF file."""
     spark = rows.sparkSession
-    spark.createDataFrame([(VCF_HEADER,)], "value string").coalesce(1).write.mode("append").text(path)
-    vcf_lines(rows.repartitionByRange("CHROM", "POS").sortWithinPartitions("CHROM", "POS")).write.mode("append").text(path)
+    head = spark.createDataFrame([(0, "", 0, VCF_HEADER)], "kind int, CHROM string, POS bigint, value string")
+    lines = head.unionByName(rows.select(F.lit(1).alias("kind"), "CHROM", "POS", vcf_line().alias("value")))
+    keys = ["kind", "CHROM", "POS"]
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("value").write.text(path)
 
 
 class FastaSource(DataSource):
     """``spark.read.format("fasta").option("path", ...)``: (name, s); with option
     ``pushdown`` filters on the name are applied while reading.
 
-    For paths that all executors can open as files; ``read_fasta`` reads any path that Spark reads.
+    Files are read in parts of about ``split`` bytes (64 MB); a record belongs to the part in which its
+    ``>`` stands. Writing is append or overwrite: every task writes a hidden file, which is renamed when
+    all tasks are done and removed if one fails, so a task that runs twice leaves one file. For paths that
+    all executors can open as files; ``read_fasta`` reads any path that Spark reads.
     """
 
     @classmethod
@@ -101,27 +115,34 @@ class FastaSource(DataSource):
 
     def reader(self, schema: StructType) -> DataSourceReader:
         kind = FastaPushReader if self.options.get("pushdown", "false") == "true" else FastaReader
-        return kind(self.options["path"], Alphabet.of(self.options.get("alphabet", "DNA/wildcard")))
+        return kind(self.options["path"], Alphabet.of(self.options.get("alphabet", "DNA/wildcard")), int(self.options.get("split", 1 << 26)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return FastaWriter(self.options["path"], int(self.options.get("width", "70")))
+        return FastaWriter(self.options["path"], int(self.options.get("width", "70")), overwrite)
+
+
+def _files(path: str) -> list[str]:
+    found = sorted(os.path.join(path, x) for x in os.listdir(path)) if os.path.isdir(path) else [path]
+    return [p for p in found if os.path.isfile(p) and not os.path.basename(p).startswith(("_", "."))]
+
+
+@dataclass
+class FilePart(InputPartition):
+    path: str
+    begin: int
+    end: int
 
 
 class FastaReader(DataSourceReader):
-    def __init__(self, path: str, alphabet: Alphabet) -> None:
-        self.path, self.alphabet, self.names = path, alphabet, None
+    def __init__(self, path: str, alphabet: Alphabet, split: int) -> None:
+        self.path, self.alphabet, self.split, self.names = path, alphabet, split, None
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else [self.path]
-        return [InputPartition(p) for p in found if not os.path.basename(p).startswith(("_", "."))]
+        return [FilePart(p, a, a + self.split) for p in _files(self.path) for a in range(0, os.path.getsize(p), self.split)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
+    def read(self, partition: FilePart) -> Iterator[tuple[str, str]]:
         letters = set(self.alphabet.letters)
-        case = self.alphabet.case_sensitive
-        last = self.alphabet.letters[-1]
+        case, last = self.alphabet.case_sensitive, self.alphabet.letters[-1]
 
         def cleaned(lines: list[str]) -> str:
             text = "".join(lines)
@@ -129,14 +150,25 @@ class FastaReader(DataSourceReader):
             return "".join(c if c in letters else last for c in text if c.isascii() and c.isalpha() or c in letters)
 
         name, lines = None, []
-        with open(partition.value, encoding="utf-8") as file:
+        with open(partition.path, "rb") as file:
+            at = partition.begin
+            if at:
+                # The line that the part begins in belongs to the part before, unless it begins here.
+                file.seek(at - 1)
+                at += len(file.readline()) - 1
             for line in file:
-                if line.startswith(">"):
+                if line.startswith(b">"):
                     if name is not None and (self.names is None or name in self.names):
                         yield name, cleaned(lines)
-                    name, lines = line[1:].rstrip("\r\n").split(" ")[0], []
-                else:
-                    lines.append(line)
+                    name, lines = None, []
+                    if at >= partition.end:
+                        return
+                    name = line[1:].decode("utf-8", "replace").rstrip("\r\n").split(" ")[0]
+                elif name is not None:
+                    lines.append(line.decode("utf-8", "replace"))
+                elif at >= partition.end:
+                    return
+                at += len(line)
         if name is not None and (self.names is None or name in self.names):
             yield name, cleaned(lines)
 
@@ -156,18 +188,41 @@ class FastaPushReader(FastaReader):
                 yield f
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    file: str
+
+
 class FastaWriter(DataSourceWriter):
-    def __init__(self, path: str, width: int) -> None:
-        self.path, self.width = path, width
+    def __init__(self, path: str, width: int, overwrite: bool) -> None:
+        self.path, self.width, self.overwrite, self.job = path, width, overwrite, uuid.uuid4().hex
 
     def write(self, iterator) -> WriterCommitMessage:
-        import os
-        import uuid
-
         os.makedirs(self.path, exist_ok=True)
-        with open(os.path.join(self.path, f"part-{uuid.uuid4().hex}.fa"), "w", encoding="utf-8") as file:
+        name = f".{self.job}-{uuid.uuid4().hex}"
+        with open(os.path.join(self.path, name), "w", encoding="utf-8") as file:
             for row in iterator:
                 file.write(f">{row.name}\n")
-                for i in range(0, len(row.s), self.width):
-                    file.write(row.s[i : i + self.width] + "\n")
-        return WriterCommitMessage()
+                step = self.width if self.width > 0 else max(1, len(row.s))
+                for i in range(0, len(row.s), step):
+                    file.write(row.s[i : i + step] + "\n")
+        return Written(name)
+
+    def commit(self, messages) -> None:
+        done = [m.file for m in messages if m is not None]
+        if self.overwrite:
+            for old in _files(self.path) if os.path.isdir(self.path) else []:
+                os.remove(old)
+        for i, name in enumerate(done):
+            os.replace(os.path.join(self.path, name), os.path.join(self.path, f"part-{i:05d}-{self.job}.fa"))
+        self._clean()
+
+    def abort(self, messages) -> None:
+        self._clean()
+
+    def _clean(self) -> None:
+        """Remove hidden files that attempts of this job have left."""
+        if os.path.isdir(self.path):
+            for x in os.listdir(self.path):
+                if x.startswith(f".{self.job}-"):
+                    os.remove(os.path.join(self.path, x))

@@ -84,7 +84,33 @@ def test_greedy(spark):
     assert got == {(0, 0, 7), (0, 6, 7)}
     with pytest.raises(ValueError):
         search.greedy_matches(qs, corpus, 3, 3)
-    assert search.greedy_matches(qs, corpus, 3, 0).count() >= 1
+
+
+@pytest.mark.parametrize(("least", "jump"), [(3, -1), (3, 0), (3, 2), (5, 1), (4, 3)])
+def test_greedy_brute_force(spark, least, jump):
+    """Longest matches found walking the ends of a query from its last letter."""
+    rng = random.Random(9)
+    corpus = ["".join(rng.choice("ACG") for _ in range(rng.randint(0, 60))) for _ in range(8)]
+    queries = ["".join(rng.choice("ACG") for _ in range(rng.randint(0, 40))) for _ in range(12)] + [corpus[0] + corpus[1], ""]
+    want = set()
+    for qid, q in enumerate(queries):
+        length, found, end = least, [], len(q)
+        while end >= length:
+            start = next(i for i in range(end + 1) if any(q[i:end] in t for t in corpus))
+            if end - start > length:
+                length, found = end - start, []
+            if end - start == length:
+                found.append(start)
+            end -= length - jump if jump >= 0 else 1
+        want |= {(qid, i, length) for i in found}
+    got = [tuple(r) for r in search.greedy_matches(table(spark, [("q", q) for q in queries]), table(spark, [("t", t) for t in corpus]), least, jump).collect()]
+    assert len(want) > 3 and set(got) == want and len(got) == len(want)
+
+
+def test_reversed_order(corpus):
+    got = [r["word"] for r in kmers.in_reversed_order(kmers.kmer_counts(corpus, 2), DNA).collect()]
+    assert got == sorted(got, key=lambda w: [DNA.letters.index(c) for c in reversed(w)])
+    assert [r["x"] for r in corpus.select(DNA.decode(DNA.encode(corpus["s"])).alias("x")).collect()] == ["ACGTACGTTN", "AACCACGT"]
 
 
 PROBS = [
@@ -171,7 +197,34 @@ def test_fasta_files(spark, tmp_path):
     seqs = table(spark, [("s1", "ACGTACGTTN"), ("s2", "AACCACGT")])
     sites = predict.vcf_rows(predict.site_probabilities(seqs, seqs, predict.Model(kmin=1, kmax=2, alpha=1.0)))
     fasta.write_vcf(sites, str(vcf))
-    assert spark.read.text(str(vcf)).count() == 9 + 2
+    lines = [x for f in sorted(vcf.glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[:2] == fasta.VCF_HEADER.split("\n")
+    body = [x.split("\t") for x in lines[2:]]
+    assert [(x[0], int(x[1])) for x in body] == sorted((x[0], int(x[1])) for x in body) and len(body) == 9
+    assert body[0] == ["s1", "3", "ACGTA", "G", "G", "0.916667", "PASS", "E=1.718263;P=0.000000,0.000000,0.916667,0.000000"]
+    queries = tmp_path / "queries"
+    queries.mkdir()
+    (queries / "a").write_text("acgtz\n\nAAC")
+    (queries / "b").write_text("TT\n")
+    assert [(r["sid"], r["s"]) for r in fasta.read_queries(spark, str(queries), DNA).orderBy("sid").collect()] == [(0, "ACGTN"), (1, ""), (2, "AAC"), (3, "TT")]
+
+
+def test_fasta_source(spark, tmp_path):
+    """Parts of every size give every record once; writing appends or replaces, and a failure leaves nothing."""
+    rng = random.Random(2)
+    rows = [(f"n{i}", "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 1, 30, 31, 200))))) for i in range(40)]
+    spark.dataSource.register(fasta.FastaSource)
+    df = spark.createDataFrame(rows, "name string, s string").repartition(3)
+    path = str(tmp_path / "out")
+    read = lambda split=1 << 26: sorted(map(tuple, spark.read.format("fasta").option("path", path).option("split", str(split)).load().collect()))
+    for width in ("30", "0"):
+        df.write.format("fasta").option("path", path).option("width", width).mode("overwrite").save()
+        assert all(read(split) == sorted(rows) for split in (64, 100, 333, 1 << 26))
+    df.write.format("fasta").option("path", path).mode("append").save()
+    assert read() == sorted(rows * 2)
+    with pytest.raises(Exception, match=".*"):
+        df.selectExpr("name", "IF(name = 'n7', raise_error('stop'), s) AS s").write.format("fasta").option("path", path).mode("overwrite").save()
+    assert read() == sorted(rows * 2) and not [x for x in (tmp_path / "out").iterdir() if x.name.startswith(".")]
 
 
 def test_index_saved(spark, corpus, tmp_path):
@@ -195,7 +248,7 @@ def test_alphabets():
         Alphabet.of("DNA/x")
 
 
-def test_frontier(spark, sa, corpus):
+def test_frontier(spark, sa, corpus, monkeypatch):
     level = frontier.visit_words(sa, corpus, DNA, lambda f, d: f.where("width >= 2"), 3)
     texts = ["ACGTACGTTN", "AACCACGT"]
     want = {w for k in (1, 2, 3) for w, n in Counter(t[i : i + k] for t in texts for i in range(len(t) - k + 1)).items() if n >= 2}
@@ -203,6 +256,11 @@ def test_frontier(spark, sa, corpus):
     parents = suffix.word_intervals(sa, corpus, [2]).where("word = 'AC'").selectExpr("word AS parent", "lo", "width", "cast(null as array<int>) AS index")
     tracked = {(r["letter"], r["kid_index"]): r["index"] for r in frontier.track(sa, parents).collect()}
     assert tracked == {("A", 0): 0, ("C", 0): 1, ("*", 0): 2, ("T", 0): 3}
+    given = spark.createDataFrame([("ACG", 4, 3, [-1, 5, -3]), ("A", 2, 5, [0, -2, 2, 3, -1])], "parent string, lo bigint, width bigint, index array<int>")
+    for piece in (2, 1 << 16):
+        monkeypatch.setattr(frontier, "PIECE", piece)
+        tracked = {(r["parent"], r["letter"], r["kid_index"], r["index"]) for r in frontier.track(sa, given).collect()}
+        assert tracked == {("ACG", "C", 0, -2), ("ACG", "*", 0, 5), ("ACG", "T", 0, -4), ("A", "*", 0, 0), ("A", "A", 0, -3), ("A", "C", 0, 2), ("A", "*", 1, 3), ("A", "T", 0, -2)}
     kids = spark.createDataFrame([("AC", "A", 2, 1, [0]), ("AC", "C", 7, 1, [1]), ("AC", "T", 16, 2, [3, 0])], "parent string, letter string, lo bigint, width bigint, index array<int>")
     grown = frontier.expand(sa, parents.select("parent", "lo", "width"), kids, min_len=2, north=2, south=2, frac=0.5).collect()
     top = next(r for r in grown if r["letter"] == "T")
