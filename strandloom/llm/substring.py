@@ -37,10 +37,15 @@ from .recompression import parse, window_starts
 
 SLICES = 1024
 PLACES = (0, 21, 42)
-PART = 400  # documents parsed together
+PART = 400  # most documents parsed together
+PART_BYTES = 250_000  # about as many bytes of text, so that arrays stay in a core's cache
 #: An odd factor and its inverse modulo 2 ** 64.
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _BACK = np.uint64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
+#: The same for the second hash, and what is mixed into its words.
+_OTHER_STEP = np.uint64(0xD1B54A32D192ED03)
+_OTHER_BACK = np.uint64(pow(0xD1B54A32D192ED03, -1, 1 << 64))
+_OTHER = np.uint64(0x8CB92BA72F3D8DD7)
 ROWS = "h1 bigint, h2 int, n int, k1 bigint, k2 bigint, lo int, hi int"
 NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
@@ -51,7 +56,7 @@ def _parts(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
     i = 0
     while i < len(texts):
         j, size = i, 0
-        while j < len(texts) and j < i + PART and (j == i or size < 4_000_000):
+        while j < len(texts) and j < i + PART and (j == i or size < PART_BYTES):
             size += len(texts[j] or b"")
             j += 1
         yield i, *word_hashes(texts[i:j])
@@ -130,21 +135,21 @@ def _passes(filter_bits: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray
     return left
 
 
-def _rolling(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+def _rolling(words: np.ndarray, at: np.ndarray, window: int, step: tuple[np.uint64, np.uint64] = (_STEP, _BACK)) -> np.ndarray:
     """A 64-bit hash of each window, from running sums: constant work per window."""
-    powers = np.full(len(words) + 1, _STEP)
+    powers = np.full(len(words) + 1, step[0])
     powers[0] = 1
     powers = np.cumprod(powers, dtype=np.uint64)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers[:-1], dtype=np.uint64)))
-    back = np.full(len(words) + 1, _BACK)
+    back = np.full(len(words) + 1, step[1])
     back[0] = 1
     return mixed((sums[at + window] - sums[at]) * np.cumprod(back, dtype=np.uint64)[at])
 
 
-def _digests(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """32-bit hashes of word stretches, besides the 64 bits of the rolling hash."""
-    data, digest = memoryview(words.tobytes()), xxhash.xxh32_intdigest
-    return np.fromiter((digest(data[8 * a : 8 * b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint32, len(lo)).view(np.int32).astype(np.int64)
+def _digests(words: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """32 more bits for each window: of a rolling hash with another factor over words mixed anew."""
+    other = mixed(words ^ _OTHER)
+    return (_rolling(other, at, window, (_OTHER_STEP, _OTHER_BACK)) >> np.uint64(32)).astype(np.uint32).view(np.int32).astype(np.int64)
 
 
 def _long_digests(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -229,7 +234,7 @@ def _open_windows(window: int, bits: int, shared):
                 at = at[before[at + window] > before[at]]
                 at = at[_passes(filter_bits, _short(parse(words, sizes, window, at, nodes=False).anchor), bits)]
                 doc = np.searchsorted(ends, at, side="right")
-                hashes = np.stack([_rolling(words, at, window).view(np.int64), _digests(words, at, at + window)], axis=1)
+                hashes = np.stack([_rolling(words, at, window).view(np.int64), _digests(words, at, window)], axis=1)
                 found.append((hashes, keys[i + doc], at - begins[doc], at - begins[doc] + window))
             if found:
                 yield from _settled(0, *(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -264,7 +269,7 @@ def _witnesses(window: int, bits: int, asked):
                 at = window_starts(sizes, window)
                 rolling = _rolling(words, at, window)
                 hit = _passes(asked_bits, rolling, bits)
-                found.append(np.stack([rolling[hit].view(np.int64), _digests(words, at[hit], at[hit] + window)], axis=1))
+                found.append(np.stack([rolling[hit].view(np.int64), _digests(words, at[hit], window)], axis=1))
             every = np.concatenate(found)
             order = np.lexsort((every[:, 1], every[:, 0]))
             h = every[order]
