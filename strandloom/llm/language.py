@@ -128,7 +128,7 @@ def sample(labelled: DataFrame, id_col: str, lang_col: str, max_docs: int) -> Da
     return labelled.join(F.broadcast(bounds), lang == F.col(of)).where(mark <= F.col(most)).select(*[labelled[c] for c in labelled.columns])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_docs: int = 20_000, min_count: int = 2, evidence: int = 30) -> LanguageModel:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, max_docs: int = 10_000, min_count: int = 2, evidence: int = 30) -> LanguageModel:
     """Fit on at most about ``max_docs`` rows of ``labelled``, shared evenly by the languages.
 
     Rows with a null language or text teach nothing; repeated rows count as often as they occur; long
