@@ -308,3 +308,31 @@ def test_windows_of_long_sequences(spark, monkeypatch):
                 row = (i, p, t[p : p + k])
                 want.append((*row, t[max(0, p - before) : p]) if before else row)
         assert got == sorted(want)
+
+
+def test_kept_tables(spark, monkeypatch):
+    """Stored tables go when they are forgotten; a cluster without a shared folder is refused."""
+    import os
+
+    from strandloom.operators import ranking
+
+    df = ranking.kept(spark.range(5).toDF("x"), "t")
+    folder = df.kept_at.removeprefix("file:")
+    assert df.count() == 5 and os.path.isdir(folder)
+    ranking.forget(df, None, spark.range(1))
+    assert not os.path.exists(folder)
+
+    class Elsewhere:
+        """A session on a cluster whose checkpoint folder is not set."""
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                sc = staticmethod(lambda: type("sc", (), {"getCheckpointDir": staticmethod(lambda: type("none", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        ranking.shared_folder(Elsewhere)

@@ -84,7 +84,7 @@ def test_every_row_has_ranks(spark, tmp_path):
     rows = suffixes([letters(t) for t in passages])
     first = starts(rows)
     want = {(k, c, n + sum(x[2] == c for x in rows[:k])) for k in range(len(rows)) for c, n in first.items()}
-    got = entry.queries()["rank_all_rows"](spark, tables(spark, tmp_path, ["none"], passages))
+    got = entry.queries()["rank_all_letters"](spark, tables(spark, tmp_path, ["none"], passages))
     assert got.count() == len(want) and {tuple(r) for r in got.select("k", "bwt", "lf").collect()} == want
 
 
