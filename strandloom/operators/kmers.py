@@ -42,13 +42,12 @@ def windows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ("sid",), *, text:
     data, off = F.col("data"), F.col("off")
     n = F.least(F.lit(STEP), F.octet_length(data) - off - (0 if short else k - 1))
 
-    def window(p: Column) -> Column:
-        word = F.substring(data, off + p + 1, F.lit(k)).cast("string")
-        left = F.substring(data, F.greatest(off + p - before, F.lit(0)) + 1, F.least(off + p, F.lit(before))).cast("string")
-        return F.struct(word.alias("word"), left.alias("left")) if before else F.struct(word.alias("word"))
-
-    rows = rows.select(*keep, "at", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), window)).alias("p", "w"))
-    return rows.select(*keep, (F.col("at") + F.col("p")).alias("pos"), "w.word", *(["w.left"] if before else []))
+    # Places are exploded, not words: cutting then runs in generated code and data is not copied.
+    rows = rows.where(n > 0).select(*keep, "at", "off", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
+    i = off + F.col("p")
+    word = F.substring(data, i + 1, F.lit(k)).cast("string").alias("word")
+    left = F.substring(data, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before))).cast("string").alias("left")
+    return rows.select(*keep, (F.col("at") + F.col("p")).alias("pos"), word, *([left] if before else []))
 
 
 def acgt(word: Column) -> Column:

@@ -33,11 +33,10 @@ def _frequent_windows(seqs: DataFrame, alphabet: Alphabet, k: int, context: int,
         j = size - i - k
         return F.substring("data", i + 1, F.lit(k)), F.substring("back", j + 1, F.lit(k)), i, j
 
-    def mark(p: Column) -> Column:
-        forward, back, _, _ = words(p)
-        return F.xxhash64(F.least(forward, back))
-
-    marks = cut.where(n > 0).select("*", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), mark)).alias("p", "mark"))
+    # Places are exploded, not words: cutting then runs in generated code and texts are not copied.
+    forward, back, i, j = words(F.col("p"))
+    places = cut.where(n > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
+    marks = places.select("*", F.xxhash64(F.least(forward, back)).alias("mark"))
     # A word that is its own reverse complement stands for two.
     often = kept(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= least).select("mark"), "frequent")
     if often.count() <= BROADCAST_ROWS:
@@ -47,7 +46,6 @@ def _frequent_windows(seqs: DataFrame, alphabet: Alphabet, k: int, context: int,
         hits = marks.select("sid", "at", "p", "mark").join(often, "mark", "left_semi")
         hits = hits.groupBy("sid", "at").agg(F.collect_list("p").alias("ps"))
         found = cut.join(hits, ["sid", "at"]).withColumn("p", F.explode("ps"))
-    forward, back, i, j = words(F.col("p"))
 
     def row(word: Column, text: str, at: Column) -> Column:
         left = F.substring(text, F.greatest(at - context, F.lit(0)) + 1, F.least(at, F.lit(context)))

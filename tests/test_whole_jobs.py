@@ -3,7 +3,10 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 import __spark_entry__ as entry
+from strandloom.operators import repeats
 from strandloom.plans import queries
 
 MAP = str.maketrans(queries.LOWER, queries.MAPPED)
@@ -47,7 +50,9 @@ def mined(texts, minlen, maxlen, least, most):
     return found
 
 
-def test_repeats_reach_the_default_lengths(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_repeats_reach_the_default_lengths(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
     rng = random.Random(11)
 
     def some(n):
