@@ -84,15 +84,24 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return ranged.withColumn("__own", own).join(F.broadcast(sizes), "__range").withColumn(name, (F.col("__own") + F.col("__before")).cast("bigint")).drop("__range", "__own", "__before")
 
 
-def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """df with ``name``: the number of rows with smaller keys. Equal keys are one row while they are
-    sorted, so a key that many rows share is no hot spot of the sort."""
+def ranked(df: DataFrame, keys: list[str], name: str, same: str | None = None) -> DataFrame:
+    """df with ``name``: the number of rows with smaller keys, and ``same``: the number with equal keys.
+    Equal keys are one row while they are sorted, so a key that many rows share is no hot spot of the sort."""
+    places = ranked_keys(df, keys, name)
+    return df.join(places.select(*keys, name, *([F.col("__rows").alias(same)] if same else [])), keys)
+
+
+def ranked_keys(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys..., __rows, name): the distinct keys of df with their rows and the number of rows before them.
+    ``forget`` deletes what it reads."""
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = kept(groups.repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("__range").agg(F.sum("__rows").alias("__n"))
+    held = kept(groups.repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ranged")
+    sizes = held.groupBy("__range").agg(F.sum("__rows").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("__range", before.alias("__before"))
     own = F.coalesce(F.sum("__rows").over(Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranged = ranged.withColumn("__own", own).join(F.broadcast(sizes), "__range").withColumn(name, (F.col("__own") + F.col("__before")).cast("bigint"))
-    return df.join(ranged.select(*keys, name), keys)
+    ranged = held.withColumn("__own", own).join(F.broadcast(sizes), "__range")
+    out = ranged.select(*keys, "__rows", (F.col("__own") + F.col("__before")).cast("bigint").alias(name))
+    out.kept_at = held.kept_at
+    return out

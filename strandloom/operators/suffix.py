@@ -4,8 +4,8 @@ Columns: row, sid, srank, pos, bwt, lf. Rows 0 .. nseq - 1 are the terminators i
 the others are sorted by text with the terminator before every letter and ties by terminator order.
 
 Sorting is prefix doubling: ranks by the first letters, then by pairs of ranks twice as far apart, until
-all differ. Each round is one equi-join and one ranking over distinct pairs, so neither a long sequence
-nor a long repeat is a single task, and texts are never compared letter by letter.
+all differ. Each round is one equi-join and one ranking over distinct pairs of the suffixes still tied, so
+neither a long sequence nor a long repeat is a single task, and texts are never compared letter by letter.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import TERMINATOR, Alphabet
 from .kmers import STEP, stretches, windows
-from .ranking import kept, ranked
+from .ranking import forget, kept, ranked, ranked_keys
 from .sequences import sequence_ranks
 
 FIRST = 16  # letters in the first key
@@ -24,21 +24,31 @@ FEW_WORDS = 1_000_000
 
 
 def suffix_ranks(ranks: DataFrame, alphabet: Alphabet, first: int = FIRST) -> DataFrame:
-    """(sid, pos, rank): 0-based ranks of all non-empty suffixes. ``ranks``: output of sequence_ranks."""
+    """(sid, pos, rank): 0-based ranks of all non-empty suffixes. ``ranks``: output of sequence_ranks.
+
+    A rank counts the smaller suffixes, so one that no other suffix shares is final. Only the others take
+    part in the next round: it looks up the rank ``h`` letters ahead, which exists, since a suffix that
+    ends within ``h`` letters is told apart by its terminator.
+    """
     rows = windows(ranks.withColumn("enc", alphabet.encode(F.col("s"))).withColumn("len", F.octet_length("s")), first, ("sid", "term_order", "len"), text="enc", short=True)
     rows = rows.withColumnRenamed("word", "head")
-    # A head that reaches the terminator is followed by the terminator's order, others by none.
-    rows = rows.withColumn("end", F.when(F.col("pos") + first >= F.col("len"), F.col("term_order")).otherwise(F.lit(-1)))
-    rows = kept(ranked(rows, ["head", "end"], "rank").select("sid", "term_order", "len", "pos", "rank"), "suffixes")
-    total = rows.count()
+    # A head that reaches the terminator comes before equal heads that go on, by the terminator's order.
+    rows = rows.withColumn("end", F.when(F.col("pos") + first >= F.col("len"), F.col("term_order")).otherwise(F.lit(1 << 62)))
+    rows = kept(ranked(rows, ["head", "end"], "rank", "same").select("sid", "pos", "rank", "same"), "suffixes")
+    final, open_ = rows.where("same = 1"), rows.where("same > 1")
     h = first
-    while rows.agg(F.count_distinct("rank")).first()[0] < total:
-        ahead = rows.select("sid", (F.col("pos") - h).alias("pos"), F.col("rank").alias("ahead"))
-        pairs = rows.join(ahead, ["sid", "pos"], "left")
-        pairs = pairs.withColumn("next", F.coalesce(F.col("ahead"), -1 - F.lit(1 << 40) + F.col("term_order")))
-        rows = kept(ranked(pairs, ["rank", "next"], "new").select("sid", "term_order", "len", "pos", F.col("new").alias("rank")), "suffixes")
+    while not open_.isEmpty():
+        every = final.unionByName(open_).select("sid", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next")).where("pos >= 0")
+        pairs = kept(open_.select("sid", "pos", "rank").join(every, ["sid", "pos"]), "pairs")
+        # Places are among the open suffixes; those of one old rank take the ranks from it on.
+        places = ranked_keys(pairs, ["rank", "next"], "place")
+        starts = places.groupBy("rank").agg(F.min("place").alias("start"))
+        new = places.join(starts, "rank").select("rank", "next", (F.col("rank") + F.col("place") - F.col("start")).alias("new"), F.col("__rows").alias("same"))
+        rows = kept(pairs.join(new, ["rank", "next"]).select("sid", "pos", F.col("new").alias("rank"), "same"), "suffixes")
+        forget(pairs, places)
+        final, open_ = final.unionByName(rows.where("same = 1")), rows.where("same > 1")
         h *= 2
-    return rows.select("sid", F.col("pos").cast("bigint").alias("pos"), "rank")
+    return final.select("sid", F.col("pos").cast("bigint").alias("pos"), "rank")
 
 
 def suffix_table(seqs: DataFrame, alphabet: Alphabet, revsort: bool = False) -> DataFrame:

@@ -6,7 +6,10 @@ from collections import Counter, defaultdict
 import pytest
 
 import __spark_entry__ as entry
+from strandloom.functions.alphabet import DNA
 from strandloom.operators import repeats
+from strandloom.operators.sequences import sequence_ranks
+from strandloom.operators.suffix import suffix_ranks
 from strandloom.plans import queries
 
 MAP = str.maketrans(queries.LOWER, queries.MAPPED)
@@ -109,3 +112,18 @@ def test_documents_are_indexed(spark, tmp_path):
     for word in queries.WORDS:
         at = [k for k, (i, p, _) in enumerate(rows) if seqs[i].startswith(word, p)]
         assert found[word] == (min(at, default=0), len(at))
+
+
+@pytest.mark.parametrize("first", [2, 16])
+def test_suffixes_that_end_where_others_go_on(spark, first):
+    rng = random.Random(5)
+    seqs = ["ACGT" * 4, "ACGT" * 4 + "A", "GG", "G", "", "A" * 70]
+    seqs += ["".join(rng.choice("AC") for _ in range(rng.randint(1, 40))) for _ in range(12)]
+    seqs += [seqs[6], seqs[7][:20], seqs[8][3:19]]
+    df = spark.createDataFrame([(i, f"n{i}", s) for i, s in enumerate(seqs)], "sid bigint, name string, s string")
+    ranks = sequence_ranks(df, DNA)
+    term = {r["sid"]: r["term_order"] for r in ranks.collect()}
+    want = sorted((s[p:], term[i], i, p) for i, s in enumerate(seqs) for p in range(len(s)))
+    got = suffix_ranks(ranks, DNA, first).collect()
+    assert [(r["sid"], r["pos"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, p) for _, _, i, p in want]
+    assert sorted(r["rank"] for r in got) == list(range(len(want)))
