@@ -221,6 +221,87 @@ def brute_components(prints, distance):
     return {p: find(p) for p in prints}
 
 
+def brute_wide(text):
+    """Twelve words: majorities of the hashes of five-word shingles, each turned by a bijection of its own."""
+    w = words_of((text or "").translate(UPPER))
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))] if w else []
+    top, out = (1 << 64) - 1, []
+    for k in range(12):
+        turned = []
+        for h in hashes:
+            x = h + (2 * k + 1) * 0x9E3779B97F4A7C15 & top
+            for _ in range(2):
+                x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & top
+            turned.append(x ^ x >> 32)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in turned) > len(turned)))
+    return tuple(out)
+
+
+def brute_wide_groups(prints):
+    """{print: least print of its group}: linked by an equal block and at most 39 of 256 bits."""
+    prints = sorted(prints)
+    blocks = {p: [x >> 21 * j & (1 << 21) - 1 for x in p for j in range(3)] for p in prints}
+    up = {p: p for p in prints}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, p in enumerate(prints):
+        for q in prints[i + 1 :]:
+            if sum((x ^ y).bit_count() for x, y in zip(p[:4], q[:4], strict=True)) <= 39 and any(x == y for x, y in zip(blocks[p], blocks[q], strict=True)):
+                a, b = find(p), find(q)
+                up[max(a, b)] = min(a, b)
+    return {p: find(p) for p in prints}
+
+
+def edited(rng, vocab, n):
+    """Texts of 60 to 160 words, most of them copies of others with a few words changed."""
+    made = []
+    for i in range(n):
+        if i % 4 and made:
+            w = made[int(rng.integers(0, len(made)))].split()
+            for at in rng.integers(0, len(w), int(rng.integers(0, 5))):
+                w[at] = str(rng.choice(vocab))
+        else:
+            w = rng.choice(vocab, int(rng.integers(60, 160))).tolist()
+        made.append(" ".join(w))
+    return made
+
+
+@pytest.mark.parametrize("group_rows", [8, 4096])
+def test_wide_groups(spark, group_rows):
+    docs, rows = documents(spark)
+    rng = np.random.default_rng(3)
+    more = edited(rng, [f"w{i}" for i in range(400)], 120)
+    rows = rows + [(1000 + i, t, *rows[0][2:]) for i, t in enumerate(more)]
+    docs = spark.createDataFrame(rows, docs.schema).repartition(3)
+    prints = {t: brute_wide(t) for _, t, *_ in rows}
+    assert all(tuple(simhash.wide_simhash((t or "").encode()).tolist()) == p for t, p in prints.items())
+    roots = brute_wide_groups(set(prints.values()))
+    groups = defaultdict(list)
+    for doc, t, *_ in rows:
+        groups[roots[prints[t]]].append(doc)
+    want = Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
+    kept = simhash.keep_first(docs, group_rows=group_rows)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == want
+    assert len(groups) < len(set(prints.values())) - 40  # edited texts are caught
+    assert simhash.keep_first(empty(spark)).count() == 0
+
+
+def test_wide_groups_by_similarity(spark):
+    """One changed word of 150 is always found; texts that share a third of their words stay."""
+    rng = np.random.default_rng(8)
+    vocab = np.array([f"w{i}" for i in range(3000)])
+    texts, near = [], 60
+    for _ in range(near):
+        w = rng.choice(vocab, 150).tolist()
+        texts += [" ".join(w), " ".join([*w[:70], "other", *w[71:]]), " ".join([*w[:50], *rng.choice(vocab, 100).tolist()])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {i for i in range(len(texts)) if i % 3 != 1}
+
+
 def test_simhash(spark):
     docs, rows = documents(spark)
     got = simhash.near_groups(docs)
@@ -233,7 +314,7 @@ def test_simhash(spark):
             least[r] = min(least.get(r, doc), doc)
     want = Counter((doc, prints[t], least.get(roots[prints[t]])) for doc, t, *_ in rows)
     assert Counter((r["doc_id"], r["print"] % (1 << 64), r["component_id"]) for r in got.collect()) == want
-    kept = simhash.keep_first(docs)
+    kept = simhash.keep_first(docs, shingle=4, wide=False)
     assert kept.columns == docs.columns
     assert kept.count() == len({roots[prints[t]] for _, t, *_ in rows})
     assert {r["doc_id"] for r in kept.collect()} <= set(least.values()) | {None}

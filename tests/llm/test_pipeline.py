@@ -11,7 +11,7 @@ from strandloom.llm import queries
 from strandloom.llm.common import stored
 
 from .fixtures import documents, empty
-from .test_operators import WORD, brute_components, brute_print, cut_lines
+from .test_operators import WORD, brute_wide, brute_wide_groups, cut_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,9 +44,9 @@ def test_stages(spark, source):
     single = stored(stages["near_dedup"](spark, cut, SF), "t")
     prints = defaultdict(list)
     for r in cut.collect():
-        prints[brute_print(r["text"])].append(r["doc_id"])
+        prints[brute_wide(r["text"])].append(r["doc_id"])
     groups = defaultdict(list)
-    for p, root in brute_components(set(prints), 4).items():
+    for p, root in brute_wide_groups(set(prints)).items():
         groups[root] += prints[p]
     least = Counter(min((i for i in ids if i is not None), default=None) for ids in groups.values())
     assert Counter(r["doc_id"] for r in single.collect()) == least
