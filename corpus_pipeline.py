@@ -43,6 +43,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near group stays, that with the smallest id (null ids last, ties by text).
 
+    Texts are near by wide fingerprints of five-word shingles, from a similarity of about 0.8 on.
     Null and empty texts are one group; of equal rows one stays; an empty table stays empty.
     """
     small_batches(spark)
