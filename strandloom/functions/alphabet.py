@@ -137,5 +137,14 @@ def argmax_letter(p: list[Column], letters: str = "ACGT") -> Column:
 
 
 def six_digits(x: Column) -> Column:
-    """The number with six decimals; exact ties go to the even digit, as in C."""
-    return F.format_string("%.6f", F.bround(x, 6))
+    """The number with six decimals as C prints it: the double itself is rounded, not its shortest decimal
+    form, and only exact ties go to the even digit. From 16 on the decimal form is rounded."""
+    a = F.abs(x)
+    high = a * 134217729.0 - (a * 134217729.0 - a)  # the upper half of the bits: both products are exact
+    up, rest = high * 1e6, (a - high) * 1e6
+    whole = F.floor(up)
+    over = up - whole - 0.5
+    micro = whole + F.when((over > -rest) | ((over == -rest) & (whole % 2 == 1)), 1).otherwise(0)
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    exact = F.concat(sign, F.floor(micro / 1000000).cast("string"), F.lit("."), F.lpad((micro % 1000000).cast("string"), 6, "0"))
+    return F.when(a < 16, exact).otherwise(F.format_string("%.6f", F.bround(x, 6)))
