@@ -16,6 +16,7 @@ from .kmers import acgt, windows, with_twins
 from .ranking import kept
 
 LETTERS = "ACGT"
+FEW_WINDOWS = 1 << 17  # distinct windows that are broadcast, some 150 bytes each
 
 
 @dataclass(frozen=True)
@@ -40,15 +41,20 @@ class Model:
         return self.kmax + 1 if self.markov and not self.both else 2 * self.kmax + 1
 
 
-def contexts(corpus: DataFrame, model: Model) -> dict[int, DataFrame]:
+def word_counts(corpus: DataFrame, size: int) -> DataFrame:
+    """(word, n): words of ``size`` letters, and the shorter ones at the ends of sequences."""
+    return kept(windows(corpus, size, (), short=True).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+
+
+def contexts(corpus: DataFrame, model: Model, words: DataFrame | None = None) -> dict[int, DataFrame]:
     """{order: (ctx, n_A, n_C, n_G, n_T)}: letters in each context, on both strands.
 
     The corpus is read once: words of the longest size, and shorter ones at the ends of sequences, are
-    counted, and the words of every shorter order are their beginnings.
+    counted, and the words of every shorter order are their beginnings. ``words``: counts of words at least
+    as long, if there are any.
     """
     sizes = {k: k + 1 if model.markov else 2 * k + 1 for k in range(model.kmin, model.kmax + 1)}
-    words = windows(corpus, sizes[model.kmax], (), short=True).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    words = kept(words, "word-counts")
+    words = word_counts(corpus, sizes[model.kmax]) if words is None else words
     out = {}
     for k, size in sizes.items():
         own = words.where(F.octet_length("word") >= size).select(F.substring("word", 1, size).alias("word"), "n").where(acgt(F.col("word")))
@@ -79,10 +85,10 @@ def _folded(rows: DataFrame, tables: dict[int, DataFrame], model: Model, context
     return rows.drop("__ctx")
 
 
-def window_probabilities(corpus: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """words (word) with ref and p_A .. p_T."""
+def window_probabilities(corpus: DataFrame, words: DataFrame, model: Model, counts: DataFrame | None = None) -> DataFrame:
+    """words (word) with ref and p_A .. p_T. ``counts``: as in ``contexts``."""
     k = model.kmax
-    tables = contexts(corpus, model)
+    tables = contexts(corpus, model, counts)
     rows = words.withColumn("ref", F.substring("word", k + 1, 1))
     left, right = F.substring("word", 1, k), F.substring("word", k + 2, k)
     if not model.both:
@@ -94,26 +100,59 @@ def window_probabilities(corpus: DataFrame, words: DataFrame, model: Model) -> D
     return rows.select("word", "ref", *[((F.col(f"f_{c}") + F.col(f"r_{twin[c]}")) / 2).alias(f"p_{c}") for c in LETTERS])
 
 
+def window_sites(corpus: DataFrame, seqs: DataFrame, model: Model) -> DataFrame:
+    """(window, sites, ref, alt, p_A .. p_T, p_ref, entropy): one row for each distinct window of only A, C,
+    G and T, with the number of its sites. Sites of a window share all of it, so whatever is made of it is
+    made here and sent to the sites at the end. A corpus that is searched itself is counted once for both."""
+    counts = word_counts(corpus, model.window) if corpus is seqs else None
+    at = word_counts(seqs, model.window) if counts is None else counts
+    at = at.where((F.octet_length("word") == model.window) & acgt(F.col("word")))
+    probs = window_probabilities(corpus, at.select("word"), model, counts)
+    p = [F.col(f"p_{c}") for c in LETTERS]
+    own = F.coalesce(*[F.when(F.col("ref") == c, x) for c, x in zip(LETTERS, p, strict=True)])
+    rows = at.join(probs, "word")
+    return kept(rows.select(F.col("word").alias("window"), F.col("n").alias("sites"), "ref", argmax_letter(p).alias("alt"), *p, own.alias("p_ref"), entropy(p).alias("entropy")), "windows")
+
+
+def at_sites(seqs: DataFrame, model: Model, table: DataFrame) -> DataFrame:
+    """The rows of ``table``, which has one row for each ``window``, at its sites: sid, name and pos, which
+    counts from 1, come first. Up to FEW_WINDOWS rows are broadcast, so that no site is sent anywhere."""
+    table = kept(table, "windows")
+    few = table.count() <= FEW_WINDOWS
+    at = windows(seqs, model.window, ("sid", "name"))
+    rows = at.withColumnRenamed("word", "window").join(F.broadcast(table) if few else table, "window")
+    return rows.select("sid", "name", (F.col("pos") + model.kmax + 1).cast("bigint").alias("pos"), *table.columns)
+
+
 def site_probabilities(corpus: DataFrame, seqs: DataFrame, model: Model) -> DataFrame:
     """(sid, name, pos, window, ref, alt, p_A .. p_T, p_ref, entropy) of every site whose window has
     only A, C, G and T; pos counts from 1."""
-    at = windows(seqs, model.window, ("sid", "name")).where(acgt(F.col("word")))
-    probs = window_probabilities(corpus, at.select("word").distinct(), model)
-    p = [F.col(f"p_{c}") for c in LETTERS]
-    rows = at.join(probs, "word")
-    own = F.coalesce(*[F.when(F.col("ref") == c, x) for c, x in zip(LETTERS, p, strict=True)])
-    return rows.select("sid", "name", (F.col("pos") + model.kmax + 1).cast("bigint").alias("pos"), F.col("word").alias("window"), "ref", argmax_letter(p).alias("alt"), *p, own.alias("p_ref"), entropy(p).alias("entropy"))
+    return at_sites(seqs, model, window_sites(corpus, seqs, model).drop("sites"))
+
+
+def _vcf_columns() -> dict[str, Column]:
+    info = F.concat(F.lit("E="), six_digits(F.col("entropy")), F.lit(";P="), F.concat_ws(",", *[six_digits(F.col(f"p_{c}")) for c in LETTERS]))
+    return {"REF": F.col("ref"), "ALT": F.col("alt"), "QUAL": F.col("p_ref"), "FILTER": F.when(F.col("alt") == F.col("ref"), "PASS").otherwise("no"), "INFO": info}
 
 
 def vcf_rows(sites: DataFrame) -> DataFrame:
     """The columns of a VCF file."""
-    info = F.concat(F.lit("E="), six_digits(F.col("entropy")), F.lit(";P="), F.concat_ws(",", *[six_digits(F.col(f"p_{c}")) for c in LETTERS]))
-    return sites.select(F.col("name").alias("CHROM"), F.col("pos").alias("POS"), F.col("window").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"), F.col("p_ref").alias("QUAL"), F.when(F.col("alt") == F.col("ref"), "PASS").otherwise("no").alias("FILTER"), info.alias("INFO"))
+    return sites.select(F.col("name").alias("CHROM"), F.col("pos").alias("POS"), F.col("window").alias("ID"), *[c.alias(n) for n, c in _vcf_columns().items()])
+
+
+def vcf_sites(corpus: DataFrame, seqs: DataFrame, model: Model, digits: int | None = None) -> DataFrame:
+    """vcf_rows of all sites, written once for each window; QUAL to so many ``digits``, if given."""
+    table = window_sites(corpus, seqs, model).select("window", *[c.alias(n) for n, c in _vcf_columns().items()])
+    table = table if digits is None else table.withColumn("QUAL", F.round("QUAL", digits))
+    sites = at_sites(seqs, model, table)
+    return sites.select(F.col("name").alias("CHROM"), F.col("pos").alias("POS"), F.col("window").alias("ID"), *_vcf_columns())
 
 
-def accuracy(sites: DataFrame) -> DataFrame:
-    right = F.count_if(F.col("alt") == F.col("ref"))
-    total = F.count(F.lit(1))
+def accuracy(sites: DataFrame, weight: str | None = None) -> DataFrame:
+    """(total, correct, fraction) of sites, or of rows that stand for ``weight`` sites each."""
+    n = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    total = F.coalesce(F.sum(n), F.lit(0))
+    right = F.coalesce(F.sum(F.when(F.col("alt") == F.col("ref"), n)), F.lit(0))
     return sites.agg(total.alias("total"), right.alias("correct"), F.when(total > 0, right / total).otherwise(0.0).alias("fraction"))
 
 

@@ -449,9 +449,11 @@ BOTH = f"""{BENCH}, {_counts('bench', 2, True)}, {_counts('bench', 3, True)}, {_
   pr AS (SELECT fw.sid, fw.name, fw.pos, fw.w, fw.ref, {', '.join(f'(fw.p_{c} + rv.p_{d}) / 2 AS p_{c}' for c, d in zip('ACGT', 'TGCA', strict=True))} FROM fw JOIN rv USING (sid, pos))"""
 
 
-def _shown(sites: DataFrame) -> DataFrame:
+def _sites_shown(corpus: DataFrame, seqs: DataFrame, model: predict.Model) -> DataFrame:
+    """Rounded once for each window."""
     cols = [f"p_{c}" for c in "ACGT"]
-    return rounded(sites, *cols, "p_ref", "entropy").select("sid", "pos", "window", "ref", "alt", *cols, "p_ref", "entropy")
+    table = rounded(predict.window_sites(corpus, seqs, model).drop("sites"), *cols, "p_ref", "entropy")
+    return predict.at_sites(seqs, model, table).select("sid", "pos", "window", "ref", "alt", *cols, "p_ref", "entropy")
 
 
 def _central(spark, sf_dir, corpus=benchmark) -> DataFrame:
@@ -461,29 +463,32 @@ def _central(spark, sf_dir, corpus=benchmark) -> DataFrame:
 
 @query(f"WITH {CENTRAL} SELECT {SHOWN} FROM pr")
 def central_probs(spark, sf_dir, corpus=benchmark):
-    return _shown(_central(spark, sf_dir, corpus))
+    seqs = corpus(spark, sf_dir)
+    return _sites_shown(seqs, seqs, predict.Model())
 
 
 @query(f"WITH {MARKOV} SELECT {SHOWN} FROM pr")
 def markov_probs(spark, sf_dir):
-    return _shown(predict.site_probabilities(documents(spark, sf_dir), benchmark(spark, sf_dir), predict.Model(markov=True, subtract=False)))
+    return _sites_shown(documents(spark, sf_dir), benchmark(spark, sf_dir), predict.Model(markov=True, subtract=False))
 
 
 @query(f"WITH {BOTH} SELECT {SHOWN} FROM pr")
 def bidirectional_probs(spark, sf_dir, corpus=benchmark):
     seqs = corpus(spark, sf_dir)
-    return _shown(predict.site_probabilities(seqs, seqs, predict.Model(markov=True, both=True)))
+    return _sites_shown(seqs, seqs, predict.Model(markov=True, both=True))
 
 
 @query(f"""WITH {CENTRAL}, v AS (SELECT *, {BEST} AS alt, {ENTROPY} AS e FROM pr) SELECT name AS "CHROM", pos AS "POS", w AS "ID", ref AS "REF", alt AS "ALT", round({OWN}, 6) AS "QUAL", CASE WHEN alt = ref THEN 'PASS' ELSE 'no' END AS "FILTER",
   printf('E=%.6f;P=%.6f,%.6f,%.6f,%.6f', e, p_A, p_C, p_G, p_T) AS "INFO" FROM v""")
 def vcf_sites(spark, sf_dir, corpus=benchmark):
-    return rounded(predict.vcf_rows(_central(spark, sf_dir, corpus)), "QUAL")
+    seqs = corpus(spark, sf_dir)
+    return rounded(predict.vcf_rows(predict.site_probabilities(seqs, seqs, predict.Model())), "QUAL")
 
 
 @query(f"WITH {CENTRAL} SELECT count(*) AS total, count(*) FILTER ({BEST} = ref) AS correct, round(count(*) FILTER ({BEST} = ref) / count(*), 6) AS fraction FROM pr")
 def prediction_accuracy(spark, sf_dir, corpus=benchmark):
-    return rounded(predict.accuracy(_central(spark, sf_dir, corpus)), "fraction")
+    seqs = corpus(spark, sf_dir)
+    return rounded(predict.accuracy(predict.window_sites(seqs, seqs, predict.Model()), "sites"), "fraction")
 
 
 STATS = f"""{CENTRAL}, v AS (SELECT sid, pos, ref, {OWN} AS p, pos - row_number() OVER (PARTITION BY sid ORDER BY pos) AS island FROM pr),

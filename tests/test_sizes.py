@@ -13,3 +13,19 @@ def test_six_digits_rounds_the_double_and_not_its_decimal_form(spark):
     values += [rng.randrange(10**7) / 10**7 * rng.choice([1, -1, 15]) for _ in range(2000)] + [k / 2**7 for k in range(256)]
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", six_digits(F.col("x")).alias("s")).collect()
     assert [r["s"] for r in rows] == [f"{r['x']:.6f}" for r in rows]
+
+
+def test_sites_of_a_corpus_are_neither_shuffled_nor_counted_one_by_one(spark):
+    from strandloom.operators import predict
+
+    rng = random.Random(2)
+    seqs = spark.createDataFrame([(i, str(i), "".join(rng.choice("ACGTN" if i % 2 else "ACGT") for _ in range(60)), 1) for i in range(20)], "sid bigint, name string, s string, strand tinyint")
+    for model in (predict.Model(), predict.Model(markov=True), predict.Model(markov=True, both=True)):
+        sites = predict.site_probabilities(seqs, seqs, model)
+        plan = sites._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        table = predict.window_sites(seqs, seqs, model)
+        assert predict.accuracy(table, "sites").collect() == predict.accuracy(sites).collect()
+        assert table.count() < sites.count() == table.agg(F.sum("sites")).first()[0]
+        assert sorted(predict.vcf_sites(seqs, seqs, model).collect()) == sorted(predict.vcf_rows(sites).collect())
+    assert predict.accuracy(predict.window_sites(seqs.where("sid < 0"), seqs.where("sid < 0"), predict.Model()), "sites").first().asDict() == {"total": 0, "correct": 0, "fraction": 0.0}
