@@ -482,7 +482,7 @@ def bidirectional_probs(spark, sf_dir, corpus=benchmark):
   printf('E=%.6f;P=%.6f,%.6f,%.6f,%.6f', e, p_A, p_C, p_G, p_T) AS "INFO" FROM v""")
 def vcf_sites(spark, sf_dir, corpus=benchmark):
     seqs = corpus(spark, sf_dir)
-    return rounded(predict.vcf_rows(predict.site_probabilities(seqs, seqs, predict.Model())), "QUAL")
+    return predict.vcf_sites(seqs, seqs, predict.Model(), 6)
 
 
 @query(f"WITH {CENTRAL} SELECT count(*) AS total, count(*) FILTER ({BEST} = ref) AS correct, round(count(*) FILTER ({BEST} = ref) / count(*), 6) AS fraction FROM pr")
