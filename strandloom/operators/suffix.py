@@ -4,8 +4,9 @@ Columns: row, sid, srank, pos, bwt, lf. Rows 0 .. nseq - 1 are the terminators i
 the others are sorted by text with the terminator before every letter and ties by terminator order.
 
 Sorting is prefix doubling: ranks by the first letters, then by pairs of ranks twice as far apart, until
-all differ. Each round is one equi-join and one ranking over distinct pairs of the suffixes still tied, so
-neither a long sequence nor a long repeat is a single task, and texts are never compared letter by letter.
+all differ, so texts are never compared letter by letter. Where ranks fit 31 bits and every sequence fits a
+task, ranks are packed arrays (``suffix_chunks``). Elsewhere each round is one equi-join and one ranking over
+distinct pairs of the suffixes still tied, so neither a long sequence nor a long repeat is a single task.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import TERMINATOR, Alphabet
+from . import suffix_chunks
 from .kmers import STEP, stretches, windows
-from .ranking import forget, kept, ranked, ranked_keys
+from .ranking import forget, kept, numbered, ranked, ranked_keys
 from .sequences import sequence_ranks
 
 FIRST = 16  # letters in the first key
@@ -52,6 +54,17 @@ def suffix_ranks(ranks: DataFrame, alphabet: Alphabet, first: int = FIRST) -> Da
 
 
 def suffix_table(seqs: DataFrame, alphabet: Alphabet, revsort: bool = False) -> DataFrame:
+    if revsort:
+        ordered = sequence_ranks(seqs, alphabet, revsort)
+    else:
+        ordered = seqs.join(numbered(seqs.select("sid"), ["sid"], "term_order"), "sid")
+    ordered = kept(ordered.select("sid", "s", "term_order"), "ordered")
+    packed = suffix_chunks.suffix_rows(ordered, alphabet)
+    return joined_table(seqs, alphabet, revsort) if packed is None else packed
+
+
+def joined_table(seqs: DataFrame, alphabet: Alphabet, revsort: bool = False) -> DataFrame:
+    """The suffix table by equi-joins, for any number and length of sequences."""
     ranks = kept(sequence_ranks(seqs, alphabet, revsort), "ranks")
     order = suffix_ranks(ranks, alphabet)
     nseq = ranks.agg(F.count(F.lit(1)).alias("nseq"))
@@ -93,10 +106,10 @@ def with_lf(rows: DataFrame, alphabet: Alphabet, block: int = BLOCK) -> DataFram
     return rows.select("row", "sid", "srank", "pos", "bwt", lf.cast("bigint").alias("lf"))
 
 
-def samples(sa: DataFrame, exponent: int = 5) -> DataFrame:
-    """Every 2 ** exponent-th row after the terminators."""
-    nseq = sa.agg(F.count_distinct("sid").alias("nseq"))
-    return sa.crossJoin(F.broadcast(nseq)).where((F.col("row") >= F.col("nseq")) & (F.col("row") % (1 << exponent) == 0)).select("row", "srank", "pos")
+def samples(sa: DataFrame, exponent: int = 5, nseq: int | None = None) -> DataFrame:
+    """Every 2 ** exponent-th row after the terminators; ``nseq``: the number of sequences, counted if not given."""
+    nseq = sa.select("sid").distinct().count() if nseq is None else nseq
+    return sa.where((F.col("row") >= nseq) & (F.col("row") % (1 << exponent) == 0)).select("row", "srank", "pos")
 
 
 def inverse_lf(sa: DataFrame) -> DataFrame:

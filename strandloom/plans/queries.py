@@ -45,9 +45,12 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dna(spark, sf_dir, "benchmark", "item_id")
 
 
-def index(spark: SparkSession, sf_dir: str, revsort: bool = False, corpus=benchmark) -> tuple[DataFrame, DataFrame]:
+def index(spark: SparkSession, sf_dir: str, revsort: bool = False, corpus=benchmark, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The suffix table and its sequences. A table that is read once need not be kept: its rows are made
+    from packed ranks as they are read."""
     seqs = corpus(spark, sf_dir)
-    return kept(suffix.suffix_table(seqs, DNA, revsort), "index"), seqs
+    sa = suffix.suffix_table(seqs, DNA, revsort)
+    return kept(sa, "index") if keep else sa, seqs
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -159,7 +162,7 @@ def both_strand_set(spark, sf_dir):
 # --- index ----------------------------------------------------------------------------------------
 @query(f"WITH {SA} SELECT * FROM sa")
 def suffix_rows(spark, sf_dir, corpus=benchmark):
-    return index(spark, sf_dir, corpus=corpus)[0]
+    return index(spark, sf_dir, corpus=corpus, keep=False)[0]
 
 
 @query(f"WITH {SA} SELECT row, bwt FROM sa WHERE row BETWEEN 100 AND 1099")
@@ -169,7 +172,7 @@ def bwt_slice(spark, sf_dir):
 
 @query(f"WITH {SA} SELECT bwt, count(*) AS n, min(lf) AS first_lf, max(lf) AS last_lf, CAST(sum(lf) AS BIGINT) AS sum_lf FROM sa GROUP BY bwt")
 def lf_mapping(spark, sf_dir, corpus=benchmark):
-    sa = index(spark, sf_dir, corpus=corpus)[0]
+    sa = index(spark, sf_dir, corpus=corpus, keep=False)[0]
     return sa.groupBy("bwt").agg(F.count(F.lit(1)).alias("n"), F.min("lf").alias("first_lf"), F.max("lf").alias("last_lf"), F.sum("lf").alias("sum_lf"))
 
 
@@ -181,7 +184,7 @@ def terminator_rows_revsort(spark, sf_dir):
 
 @query(f"WITH {SA} SELECT lf AS row, row AS forward_row FROM sa WHERE bwt <> '*'")
 def inverse_lf(spark, sf_dir, corpus=benchmark):
-    return suffix.inverse_lf(index(spark, sf_dir, corpus=corpus)[0])
+    return suffix.inverse_lf(index(spark, sf_dir, corpus=corpus, keep=False)[0])
 
 
 @query(f"WITH {SA} SELECT row, substr(s || '*', CAST(pos AS INTEGER) + 1, 500) AS text FROM sa JOIN bench USING (sid)")
@@ -196,7 +199,8 @@ def reconstruct(spark, sf_dir, corpus=benchmark):
 
 @query(f"WITH {SA} SELECT row, srank, pos FROM sa WHERE row >= (SELECT count(*) FROM bench) AND row % 32 = 0")
 def sa_samples(spark, sf_dir, corpus=benchmark):
-    return suffix.samples(index(spark, sf_dir, corpus=corpus)[0])
+    sa, seqs = index(spark, sf_dir, corpus=corpus, keep=False)
+    return suffix.samples(sa, nseq=seqs.count())
 
 
 @query(f"""WITH {SA}, c AS (SELECT row // 256 AS block, bwt, count(*) AS n FROM sa GROUP BY 1, 2), g AS (SELECT block, bwt FROM (SELECT DISTINCT block FROM c), (SELECT DISTINCT bwt FROM c))

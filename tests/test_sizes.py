@@ -29,3 +29,22 @@ def test_sites_of_a_corpus_are_neither_shuffled_nor_counted_one_by_one(spark):
         assert table.count() < sites.count() == table.agg(F.sum("sites")).first()[0]
         assert sorted(predict.vcf_sites(seqs, seqs, model).collect()) == sorted(predict.vcf_rows(sites).collect())
     assert predict.accuracy(predict.window_sites(seqs.where("sid < 0"), seqs.where("sid < 0"), predict.Model()), "sites").first().asDict() == {"total": 0, "correct": 0, "fraction": 0.0}
+
+
+def test_packed_suffix_table_equals_the_one_by_joins(spark, monkeypatch):
+    from strandloom.functions.alphabet import DNA
+    from strandloom.operators import suffix, suffix_chunks
+
+    monkeypatch.setattr(suffix_chunks, "CHUNK", 600)
+    monkeypatch.setattr(suffix_chunks, "BATCH", 300)
+    rng = random.Random(3)
+    texts = ["", "A", "A", "N" * 90, "N" * 70, "ACGT" * 30, "ACGT" * 30, ""] + ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(150))) for _ in range(15)]
+    texts += [texts[-1], texts[-2] + texts[-1], texts[-1] + texts[-2], texts[-3][:24], texts[-3][-24:]]
+    seqs = spark.createDataFrame([(7 * i % 101, str(i), s, 1) for i, s in enumerate(texts)], "sid bigint, name string, s string, strand tinyint")
+    for revsort in (False, True):
+        got = suffix.suffix_table(seqs, DNA, revsort)
+        want = suffix.joined_table(seqs, DNA, revsort)
+        assert got.columns == want.columns
+        assert sorted(got.collect()) == sorted(want.collect())
+    monkeypatch.setattr(suffix_chunks, "LONGEST", 100)
+    assert suffix_chunks.suffix_rows(seqs.withColumn("term_order", F.col("sid")), DNA) is None
