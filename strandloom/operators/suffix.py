@@ -23,6 +23,7 @@ from .sequences import sequence_ranks
 FIRST = 16  # letters in the first key
 BLOCK = 1 << 16  # rows between two checkpoints
 FEW_WORDS = 1_000_000
+FEW_LOOKED_UP = 100_000  # words that are sent to packed ranks
 
 
 def suffix_ranks(ranks: DataFrame, alphabet: Alphabet, first: int = FIRST) -> DataFrame:
@@ -156,7 +157,10 @@ def initial_intervals(sa: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def word_intervals(sa: DataFrame, seqs: DataFrame, lengths: list[int]) -> DataFrame:
     """(word, lo, width) of all words of the given lengths: the rows that start with each."""
-    out = None
+    packed = getattr(sa, "packed", None)
+    out = packed.intervals(lengths) if packed else None
+    if out is not None:
+        return out
     for k in lengths:
         words = windows(seqs, k).join(sa.select("sid", "pos", "row"), ["sid", "pos"]).groupBy("word").agg(F.min("row").alias("lo"), F.count(F.lit(1)).alias("width"))
         out = words if out is None else out.unionByName(words)
@@ -173,6 +177,11 @@ def lookup(sa: DataFrame, seqs: DataFrame, words: DataFrame) -> DataFrame:
     lengths, n = asked.where("word <> ''").agg(F.collect_set(F.length("word")), F.count(F.lit(1))).first()
     if not lengths:
         return asked.select("word", F.lit(0).cast("bigint").alias("lo"), F.lit(0).cast("bigint").alias("width"))
+    packed = getattr(sa, "packed", None)
+    if packed and n <= FEW_LOOKED_UP:
+        found = packed.intervals(sorted(lengths), [r["word"] for r in asked.where("word <> ''").collect()])
+        if found is not None:
+            return asked.join(found, "word", "left").select("word", F.coalesce("lo", F.lit(0)).alias("lo"), F.coalesce("width", F.lit(0)).alias("width"))
     every = F.array(*[F.lit(k) for k in sorted(lengths)])
     heads = windows(seqs, max(lengths), short=True)
     heads = heads.select("sid", "pos", F.explode(F.transform(F.filter(every, lambda k: k <= F.octet_length("word")), lambda k: F.substring("word", F.lit(1), k))).alias("word"))
@@ -188,11 +197,16 @@ def reverse_intervals(intervals: DataFrame, alphabet: Alphabet) -> DataFrame:
 
 
 def reconstruct(sa: DataFrame) -> DataFrame:
-    """(srank, s): all sequences from bwt and lf alone, by pointer jumping.
+    """(srank, s): all sequences. Where the table has places, each row's letter stands at the place before
+    its own; from bwt and lf alone by pointer jumping.
 
     Every row points to its LF row; distances to the sequence's start double each round, so the number
     of joins is the logarithm of the longest sequence.
     """
+    if "pos" in sa.columns:
+        letters = F.array_sort(F.collect_list(F.struct("pos", "bwt")))  # the first is the terminator before the text
+        text = F.array_join(F.transform(letters, lambda x: x["bwt"]), "")
+        return sa.groupBy("srank").agg(F.substring(text, 2, 1 << 30).alias("s")).select(F.col("srank").cast("bigint").alias("srank"), "s")
     nodes = sa.select("row", "bwt", "lf")
     links = kept(nodes.select("row", F.when(F.col("bwt") == TERMINATOR, F.lit(None).cast("bigint")).otherwise(F.col("lf")).alias("to"), F.when(F.col("bwt") == TERMINATOR, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias("d"), F.when(F.col("bwt") == TERMINATOR, F.col("lf")).alias("srank")), "links")
     while links.where("`to` is not null").limit(1).count():

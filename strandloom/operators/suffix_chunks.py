@@ -183,10 +183,10 @@ def suffix_rows(ranks: DataFrame, alphabet: Alphabet) -> DataFrame | None:
         new = kept(both.groupBy("chunk").applyInArrow(steps(h), _ROWS), "chunks")
         forget(state, replies)
         state, h, first = new, 2 * h, False
-    return _rows(state, nseq, chunks)
+    return _rows(state, nseq, alphabet)
 
 
-def _rows(state: DataFrame, nseq: int, chunks: int) -> DataFrame:
+def _rows(state: DataFrame, nseq: int, alphabet: Alphabet) -> DataFrame:
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -231,4 +231,52 @@ def _rows(state: DataFrame, nseq: int, chunks: int) -> DataFrame:
     order = numbered(tops, ["top", "term_order"], "srank")
     order = kept(order.groupBy("chunk").agg(F.collect_list(F.struct("term_order", "srank")).alias("sranks")), "sranks")
     rows = held.select("chunk", "a", "b", "c").join(F.broadcast(order) if nseq <= FEW_SEQUENCES else order, "chunk")
-    return rows.mapInArrow(emit, "row bigint, sid bigint, srank bigint, pos bigint, bwt string, lf bigint")
+    out = rows.mapInArrow(emit, "row bigint, sid bigint, srank bigint, pos bigint, bwt string, lf bigint")
+    out.packed = Packed(held, alphabet, nseq)
+    return out
+
+
+class Packed:
+    """What a table of ``suffix_rows`` is made of, as its attribute ``packed``."""
+
+    def __init__(self, held: DataFrame, alphabet: Alphabet, nseq: int) -> None:
+        self.held, self.alphabet, self.nseq = held, alphabet, nseq
+
+    def intervals(self, lengths: list[int], words: list[str] | None = None) -> DataFrame | None:
+        """(word, lo, width) of all words of the given lengths, or of those in ``words``; None if one is longer
+        than a key. Each chunk sends one row for each of its words."""
+        base, codes, nseq, most = len(self.alphabet.letters) + 1, _codes(self.alphabet), self.nseq, letters_in_key(self.alphabet)
+        if not lengths or max(lengths) > most:
+            return None
+        letters = self.alphabet.letters
+        asked = None
+        if words is not None:
+            asked = {k: np.array(sorted(sum(int(codes[ord(c)]) * base ** (k - 1 - i) for i, c in enumerate(w)) for w in set(words) if len(w) == k and all(c in letters for c in w)), np.int64) for k in lengths}
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    _, _, size, first = _held(r["a"])
+                    row = (np.frombuffer(r["c"], np.uint32) >> 1).astype(np.int64) + nseq
+                    coded = codes[np.frombuffer(r["b"], np.uint8)]
+                    rest = np.repeat(first + size, size) - np.arange(len(coded))  # letters up to the end
+                    for k in lengths:
+                        at = rest >= k
+                        keys, rows = _keys(coded, base, k)[at], row[at]
+                        if asked is not None:
+                            place = np.searchsorted(asked[k], keys)
+                            hit = place < len(asked[k])
+                            hit[hit] = asked[k][place[hit]] == keys[hit]
+                            keys, rows = keys[hit], rows[hit]
+                        if not len(keys):
+                            continue
+                        order = np.argsort(keys, kind="stable")
+                        keys, starts = np.unique(keys[order], return_index=True)
+                        lows = np.minimum.reduceat(rows[order], starts)
+                        widths = np.diff(np.append(starts, len(order)))
+                        digits = keys[:, None] // base ** np.arange(k - 1, -1, -1, dtype=np.int64) % base
+                        shown = np.frombuffer(("?" + letters).encode(), np.uint8)[digits].tobytes().decode()
+                        yield pa.record_batch([pa.array([shown[i : i + k] for i in range(0, len(shown), k)], pa.string()), pa.array(lows), pa.array(widths.astype(np.int64))], ["word", "lo", "width"])
+
+        parts = self.held.select("a", "b", "c").mapInArrow(count, "word string, lo bigint, width bigint")
+        return parts.groupBy("word").agg(F.min("lo").alias("lo"), F.sum("width").alias("width"))

@@ -194,7 +194,7 @@ def forward_walk(spark, sf_dir):
 
 @query(f"WITH {SA} SELECT CAST(srank AS BIGINT) AS srank, s FROM r")
 def reconstruct(spark, sf_dir, corpus=benchmark):
-    return suffix.reconstruct(index(spark, sf_dir, corpus=corpus)[0])
+    return suffix.reconstruct(index(spark, sf_dir, corpus=corpus, keep=False)[0])
 
 
 @query(f"WITH {SA} SELECT row, srank, pos FROM sa WHERE row >= (SELECT count(*) FROM bench) AND row % 32 = 0")
@@ -240,14 +240,16 @@ def initial_intervals(spark, sf_dir):
 @query(f"WITH {SA}, {_grams('g3', 'bench', 3)} {_intervals(3)}")
 def extend_backward(spark, sf_dir, corpus=benchmark):
     """Two backward extensions from the letters: all words of three."""
-    sa, seqs = index(spark, sf_dir, corpus=corpus)
-    two = suffix.extend_backward(sa, suffix.initial_intervals(sa, seqs), DNA)
-    return suffix.extend_backward(sa, two, DNA)
+    sa, seqs = index(spark, sf_dir, corpus=corpus, keep=False)
+    one = kept(suffix.initial_intervals(sa, seqs), "intervals")
+    rows = kept(sa.select("row", "bwt"), "index")
+    two = kept(suffix.extend_backward(rows, one, DNA), "intervals")
+    return suffix.extend_backward(rows, two, DNA)
 
 
 @query(f"WITH {SA}, {_grams('g4', 'bench', 4)}, w AS ({_intervals(4)}) SELECT w.word, w.lo, w.width, coalesce(v.lo, -1) AS rlo FROM w LEFT JOIN w v ON v.word = {RC.format('w.word')}")
 def reverse_intervals(spark, sf_dir, corpus=benchmark):
-    out = suffix.reverse_intervals(suffix.word_intervals(*index(spark, sf_dir, corpus=corpus), [4]), DNA)
+    out = suffix.reverse_intervals(kept(suffix.word_intervals(*index(spark, sf_dir, corpus=corpus, keep=False), [4]), "intervals"), DNA)
     return out.withColumn("rlo", F.coalesce("rlo", F.lit(-1)))
 
 
@@ -258,7 +260,7 @@ WORDS = ("ACGT", "AC", "T", "N", "GATTACA", "NNNN", "TACG", "CCA", "GGGGGGGG")
   SELECT w.word, coalesce(min(x.row), 0) AS lo, count(x.row) AS width FROM w LEFT JOIN (SELECT row, substr(s, CAST(pos AS INTEGER) + 1) AS t FROM sa JOIN bench USING (sid) WHERE pos < length(s)) x ON starts_with(x.t, w.word) GROUP BY w.word""")
 def word_lookup(spark, sf_dir, corpus=benchmark):
     words = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    return suffix.lookup(*index(spark, sf_dir, corpus=corpus), words)
+    return suffix.lookup(*index(spark, sf_dir, corpus=corpus, keep=False), words)
 
 
 @query(f"""WITH {SA} SELECT row, lpad(CAST(row AS VARCHAR), 10, ' ') || lpad(CAST(pos AS VARCHAR), 10, ' ') || lpad(CAST(length(s) AS VARCHAR), 10, ' ') || ' ' ||

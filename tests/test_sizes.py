@@ -48,3 +48,21 @@ def test_packed_suffix_table_equals_the_one_by_joins(spark, monkeypatch):
         assert sorted(got.collect()) == sorted(want.collect())
     monkeypatch.setattr(suffix_chunks, "LONGEST", 100)
     assert suffix_chunks.suffix_rows(seqs.withColumn("term_order", F.col("sid")), DNA) is None
+
+
+def test_intervals_and_texts_of_packed_tables(spark):
+    from strandloom.functions.alphabet import DNA
+    from strandloom.operators import suffix
+
+    rng = random.Random(4)
+    texts = ["", "ACG", "NNNNNNNNNNNN"] + ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(90))) for _ in range(12)]
+    seqs = spark.createDataFrame([(i, str(i), s, 1) for i, s in enumerate(texts)], "sid bigint, name string, s string, strand tinyint")
+    sa = suffix.suffix_table(seqs, DNA)
+    plain = spark.createDataFrame(sa.collect(), sa.schema)
+    assert hasattr(sa, "packed") and not hasattr(plain, "packed")
+    assert sorted(suffix.word_intervals(sa, seqs, [1, 4]).collect()) == sorted(suffix.word_intervals(plain, seqs, [1, 4]).collect())
+    words = spark.createDataFrame([(w,) for w in ("A", "ACG", "NNNN", "", "X", "GGGGGGGG", texts[-1][:7], texts[-1][:9])], "word string")
+    assert sorted(suffix.lookup(sa, seqs, words).collect()) == sorted(suffix.lookup(plain, seqs, words).collect())
+    by_place = {(r["srank"], r["s"]) for r in suffix.reconstruct(sa).collect()}
+    assert by_place == {(r["srank"], r["s"]) for r in suffix.reconstruct(plain.drop("pos")).collect()}
+    assert sorted(s for _, s in by_place) == sorted(texts)
