@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -57,11 +58,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def forget(*tables: DataFrame | None) -> None:
-    """Delete tables made by ``kept`` that nothing reads any more."""
+    """Delete tables made by ``kept`` that nothing reads any more, and what was shuffled to make them: Spark
+    keeps shuffle files until the driver collects its garbage, which a loop of small jobs does not bring about."""
+    spark = None
     for table in tables:
         path = getattr(table, "kept_at", None)
         if path and _KEPT.pop(path, None):
-            _delete(table.sparkSession, path)
+            spark = table.sparkSession
+            _delete(spark, path)
+    if spark is not None:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register

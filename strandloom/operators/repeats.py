@@ -1,7 +1,7 @@
 """Frequent words with diverse neighbours (exact repeats).
 
 Both strands are counted from the forward texts: a window and its reverse complement are one row. First
-only a hash of the smaller of the two is counted; windows whose hash is frequent enough are cut again with
+only a hash of the smaller of the two is counted, in sorted lists of which the gaps are sent; windows whose hash is frequent enough are cut again with
 the letters in front of them (and, for the other strand, behind them), and equal ones become one row with
 their number before they are sent. Words then grow to the left level by level over these rows: rare words
 are dropped, words with one dominant left letter go on, the others are recorded.
@@ -9,6 +9,10 @@ are dropped, words with one dominant left letter go on, the others are recorded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,58 @@ from .kmers import STEP, stretches
 from .ranking import forget, kept, numbered
 
 BROADCAST_ROWS = 4_000_000  # frequent hashes that are broadcast, 8 bytes each
+LIST = 1 << 23  # hashes of a sorted list
+SPARE_BITS = 4  # of a hash, beyond those that number all windows
+
+
+def _gaps(values: np.ndarray) -> bytes:
+    """Sorted numbers as their first and the gaps between them: the low bytes, then the rest, both packed."""
+    gaps = np.diff(values, prepend=np.int64(0))
+    high = gaps >> 8
+    wide = np.flatnonzero(high > 254)
+    parts = [(gaps & 255).astype(np.uint8), np.where(high > 254, 255, high).astype(np.uint8), high[wide]]
+    return np.array([len(values), len(wide)], np.int64).tobytes() + pa.compress(b"".join(x.tobytes() for x in parts), codec="zstd", asbytes=True)
+
+
+def _values(packed: bytes) -> np.ndarray:
+    n, wide = (int(x) for x in np.frombuffer(packed[:16], np.int64))
+    raw = pa.decompress(packed[16:], 2 * n + 8 * wide, codec="zstd", asbytes=True)
+    high = np.frombuffer(raw, np.uint8, n, n).astype(np.int64)
+    high[high == 255] = np.frombuffer(raw, np.int64, wide, 2 * n)
+    return np.cumsum(high << 8 | np.frombuffer(raw, np.uint8, n))
+
+
+def frequent_hashes(marks: DataFrame, bits: int, ranges: int, least: int) -> DataFrame:
+    """(mark): the hashes of ``bits`` bits that ``marks`` (mark) holds ``least`` times.
+
+    Each task sorts its hashes and sends every range of hashes the gaps of its list: some one and a half bytes
+    for a hash, where a row has ten and more.
+    """
+    bounds = np.array([(r << bits) // ranges for r in range(1, ranges)], np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(held: list[np.ndarray]) -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            parts = [(r, _gaps(x)) for r, x in enumerate(np.split(values, np.searchsorted(values, bounds))) if len(x)]
+            return pa.record_batch([pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["range", "list"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).copy())
+            n += len(held[-1])
+            if n >= LIST:
+                yield lists(held)
+                held, n = [], 0
+        if n:
+            yield lists(held)
+
+    def count(table: pa.Table) -> pa.Table:
+        values = np.sort(np.concatenate([_values(x) for x in table["list"].to_pylist()]))
+        starts = np.flatnonzero(np.diff(values, prepend=values[0] - 1))
+        return pa.table({"mark": values[starts[np.diff(starts, append=len(values)) >= least]]})
+
+    lists = marks.select("mark").mapInArrow(pack, "range int, list binary")
+    return lists.repartition(ranges, "range").groupBy("range").applyInArrow(count, "mark bigint")
 
 
 def _frequent_windows(seqs: DataFrame, alphabet: Alphabet, k: int, context: int, least: int) -> DataFrame:
@@ -36,9 +92,12 @@ def _frequent_windows(seqs: DataFrame, alphabet: Alphabet, k: int, context: int,
     # Places are exploded, not words: cutting then runs in generated code and texts are not copied.
     forward, back, i, j = words(F.col("p"))
     places = cut.where(n > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"))
-    marks = places.select("*", F.xxhash64(F.least(forward, back)).alias("mark"))
+    # Hashes that meet by chance let more windows through, which are told apart by their words below.
+    total = seqs.agg(F.coalesce(F.sum(F.octet_length("s")), F.lit(0))).first()[0]
+    bits = min(62, max(32, int(total).bit_length() + SPARE_BITS))
+    marks = places.select("*", F.shiftrightunsigned(F.xxhash64(F.least(forward, back)), 64 - bits).alias("mark"))
     # A word that is its own reverse complement stands for two.
-    often = kept(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 2 >= least).select("mark"), "frequent")
+    often = kept(frequent_hashes(marks, bits, max(1, total // LIST), (least + 1) // 2), "frequent")
     if often.count() <= BROADCAST_ROWS:
         found = marks.join(F.broadcast(often), "mark", "left_semi")
     else:

@@ -66,3 +66,20 @@ def test_intervals_and_texts_of_packed_tables(spark):
     by_place = {(r["srank"], r["s"]) for r in suffix.reconstruct(sa).collect()}
     assert by_place == {(r["srank"], r["s"]) for r in suffix.reconstruct(plain.drop("pos")).collect()}
     assert sorted(s for _, s in by_place) == sorted(texts)
+
+
+def test_frequent_hashes_are_sent_as_gaps(spark, monkeypatch):
+    import numpy as np
+
+    from strandloom.operators import repeats
+
+    monkeypatch.setattr(repeats, "LIST", 1000)
+    rng = random.Random(5)
+    for most in (300, 1 << 40, 1 << 62):
+        values = np.sort(np.array([rng.randrange(most) for _ in range(500)] + [0, most - 1], np.int64))
+        assert (repeats._values(repeats._gaps(values)) == values).all()
+    marks = [rng.randrange(1 << 40) for _ in range(4000)] + [x for x in (0, 7, (1 << 40) - 1) for _ in range(5)] + [9] * 4
+    found = repeats.frequent_hashes(spark.createDataFrame([(x,) for x in marks], "mark bigint").repartition(3), 40, 7, 5)
+    assert sorted(r["mark"] for r in found.collect()) == [0, 7, (1 << 40) - 1]
+    empty = spark.createDataFrame([], "mark bigint")
+    assert repeats.frequent_hashes(empty, 40, 7, 5).count() == 0
