@@ -58,8 +58,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def forget(*tables: DataFrame | None) -> None:
-    """Delete tables made by ``kept`` that nothing reads any more, and what was shuffled to make them: Spark
-    keeps shuffle files until the driver collects its garbage, which a loop of small jobs does not bring about."""
+    """Delete tables made by ``kept`` that nothing reads any more, and what was shuffled to make them."""
     spark = None
     for table in tables:
         path = getattr(table, "kept_at", None)
@@ -67,8 +66,14 @@ def forget(*tables: DataFrame | None) -> None:
             spark = table.sparkSession
             _delete(spark, path)
     if spark is not None:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs: it keeps them until the driver collects its garbage,
+    which a few large jobs or many small ones do not bring about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet, six_digits
 from .kmers import STEP, stretches
-from .ranking import forget, kept, numbered
+from .ranking import forget, kept, numbered, release
 
 BROADCAST_ROWS = 4_000_000  # frequent hashes that are broadcast, 8 bytes each
 LIST = 1 << 23  # hashes of a sorted list
@@ -98,6 +98,7 @@ def _frequent_windows(seqs: DataFrame, alphabet: Alphabet, k: int, context: int,
     marks = places.select("*", F.shiftrightunsigned(F.xxhash64(F.least(forward, back)), 64 - bits).alias("mark"))
     # A word that is its own reverse complement stands for two.
     often = kept(frequent_hashes(marks, bits, max(1, total // LIST), (least + 1) // 2), "frequent")
+    release(seqs.sparkSession)
     if often.count() <= BROADCAST_ROWS:
         found = marks.join(F.broadcast(often), "mark", "left_semi")
     else:
@@ -120,6 +121,7 @@ def repeat_words(seqs: DataFrame, alphabet: Alphabet, minlen: int = 25, maxlen:
     if not (10 <= minlen <= 50 and minlen <= maxlen <= 100):
         raise ValueError("10 <= minlen <= 50 and minlen <= maxlen <= 100 are needed")
     level = kept(_frequent_windows(seqs.where("strand > 0"), alphabet, minlen, maxlen + 2 - minlen, min_interval), "level")
+    release(seqs.sparkSession)
     found = None
     for d in range(minlen, maxlen + 2):
         before = F.substring("left", -1, 1)
