@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import os
 import shutil
 import tempfile
 import uuid
@@ -51,6 +52,24 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def kept_folder(spark: SparkSession, name: str) -> str | None:
+    """A new folder for plain files in the shared folder, which stays as tables do; None where that is not
+    a path that Python can open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if path.getScheme() != "file":
+        return None
+    os.makedirs(path.getPath())
+    _KEPT[f"file://{path.getPath()}"] = spark
+    return path.getPath()
+
+
+def forget_folder(path: str) -> None:
+    """Delete a folder made by ``kept_folder``."""
+    _KEPT.pop(f"file://{path}", None)
+    shutil.rmtree(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,8 @@ the others are sorted by text with the terminator before every letter and ties b
 
 Sorting is prefix doubling: ranks by the first letters, then by pairs of ranks twice as far apart, until
 all differ, so texts are never compared letter by letter. Where ranks fit 31 bits and every sequence fits a
-task, ranks are packed arrays (``suffix_chunks``). Elsewhere each round is one equi-join and one ranking over
+task, ranks are packed arrays (``suffix_chunks``); small alphabets need ranks of one place in eight only
+(``suffix_files``). Elsewhere each round is one equi-join and one ranking over
 distinct pairs of the suffixes still tied, so neither a long sequence nor a long repeat is a single task.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import TERMINATOR, Alphabet
-from . import suffix_chunks
+from . import suffix_chunks, suffix_files
 from .kmers import STEP, stretches, windows
 from .ranking import forget, kept, numbered, ranked, ranked_keys
 from .sequences import sequence_ranks
@@ -24,6 +25,7 @@ FIRST = 16  # letters in the first key
 BLOCK = 1 << 16  # rows between two checkpoints
 FEW_WORDS = 1_000_000
 FEW_LOOKED_UP = 100_000  # words that are sent to packed ranks
+FEW_INTERVALS = 10_000  # intervals whose ends are sent to packed letters
 
 
 def suffix_ranks(ranks: DataFrame, alphabet: Alphabet, first: int = FIRST) -> DataFrame:
@@ -55,13 +57,14 @@ def suffix_ranks(ranks: DataFrame, alphabet: Alphabet, first: int = FIRST) -> Da
 
 
 def suffix_table(seqs: DataFrame, alphabet: Alphabet, revsort: bool = False) -> DataFrame:
-    if revsort:
-        ordered = sequence_ranks(seqs, alphabet, revsort)
-    else:
-        ordered = seqs.join(numbered(seqs.select("sid"), ["sid"], "term_order"), "sid")
-    ordered = kept(ordered.select("sid", "s", "term_order"), "ordered")
-    packed = suffix_chunks.suffix_rows(ordered, alphabet)
-    return joined_table(seqs, alphabet, revsort) if packed is None else packed
+    for packed in (suffix_files, suffix_chunks):
+        ordered = sequence_ranks(seqs, alphabet, revsort) if revsort else seqs.join(numbered(seqs.select("sid"), ["sid"], "term_order"), "sid")
+        ordered = kept(ordered.select("sid", "s", "term_order"), "ordered")
+        found = packed.suffix_rows(ordered, alphabet)
+        if found is not None:
+            return found
+        forget(ordered)
+    return joined_table(seqs, alphabet, revsort)
 
 
 def joined_table(seqs: DataFrame, alphabet: Alphabet, revsort: bool = False) -> DataFrame:
@@ -109,12 +112,18 @@ def with_lf(rows: DataFrame, alphabet: Alphabet, block: int = BLOCK) -> DataFram
 
 def samples(sa: DataFrame, exponent: int = 5, nseq: int | None = None) -> DataFrame:
     """Every 2 ** exponent-th row after the terminators; ``nseq``: the number of sequences, counted if not given."""
+    packed = getattr(sa, "packed", None)
+    if isinstance(packed, suffix_files.Packed):
+        return packed.rows(["row", "srank", "pos"], every=1 << exponent)
     nseq = sa.select("sid").distinct().count() if nseq is None else nseq
     return sa.where((F.col("row") >= nseq) & (F.col("row") % (1 << exponent) == 0)).select("row", "srank", "pos")
 
 
 def inverse_lf(sa: DataFrame) -> DataFrame:
     """(row, forward_row): the row of the suffix one letter shorter (psi), by a join of lf with row."""
+    packed = getattr(sa, "packed", None)
+    if isinstance(packed, suffix_files.Packed):
+        return packed.rows(["lf", "row"], letters=True).select(F.col("lf").alias("row"), F.col("row").alias("forward_row"))
     return sa.where(F.col("bwt") != TERMINATOR).select(F.col("lf").alias("row"), F.col("row").alias("forward_row"))
 
 
@@ -140,10 +149,26 @@ def rank_all(sa: DataFrame, probes: DataFrame, alphabet: Alphabet, block: int =
     return inside.join(marks, ["block", "bwt"]).join(F.broadcast(starts), "bwt").select("k", "bwt", (F.col("c") + F.col("occ") + F.col("own")).alias("lf"))
 
 
+def bwt_rows(sa: DataFrame) -> DataFrame:
+    """(row, bwt) of a table, kept for ``extend_backward``; pieces of letters where the table is packed."""
+    packed = getattr(sa, "packed", None)
+    if not isinstance(packed, suffix_files.Packed):
+        return kept(sa.select("row", "bwt"), "index")
+    pieces = kept(packed.bwt(), "index")
+    rows = packed.bwt_rows(pieces)
+    rows.packed, rows.pieces = packed, pieces
+    return rows
+
+
 def extend_backward(sa: DataFrame, intervals: DataFrame, alphabet: Alphabet) -> DataFrame:
     """(word, lo, width): all non-empty words one letter longer to the left of ``intervals`` (word, lo, width)."""
     ends = intervals.select(F.col("lo").alias("k")).union(intervals.select((F.col("lo") + F.col("width")).alias("k")))
-    at = kept(rank_all(sa, ends, alphabet), "ranks")
+    pieces, spark = getattr(sa, "pieces", None), sa.sparkSession
+    if pieces is not None and intervals.count() <= FEW_INTERVALS:
+        found = sa.packed.ranks(pieces, [r["k"] for r in ends.distinct().collect()])
+        at = spark.createDataFrame([(k, c, int(n)) for k, x in found.items() for c, n in zip((TERMINATOR, *alphabet.letters), x, strict=True)], "k bigint, bwt string, lf bigint")
+    else:
+        at = kept(rank_all(sa, ends, alphabet), "ranks")
     lo = at.select(F.col("k").alias("lo"), "bwt", F.col("lf").alias("new_lo"))
     hi = at.select(F.col("k").alias("hi"), F.col("bwt").alias("c"), F.col("lf").alias("new_hi"))
     out = intervals.withColumn("hi", F.col("lo") + F.col("width")).join(lo, "lo").join(hi, "hi").where("bwt = c and new_hi > new_lo")
@@ -203,6 +228,9 @@ def reconstruct(sa: DataFrame) -> DataFrame:
     Every row points to its LF row; distances to the sequence's start double each round, so the number
     of joins is the logarithm of the longest sequence.
     """
+    packed = getattr(sa, "packed", None)
+    if isinstance(packed, suffix_files.Packed):
+        return packed.reconstruct()
     if "pos" in sa.columns:
         letters = F.array_sort(F.collect_list(F.struct("pos", "bwt")))  # the first is the terminator before the text
         text = F.array_join(F.transform(letters, lambda x: x["bwt"]), "")

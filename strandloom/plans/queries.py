@@ -242,7 +242,7 @@ def extend_backward(spark, sf_dir, corpus=benchmark):
     """Two backward extensions from the letters: all words of three."""
     sa, seqs = index(spark, sf_dir, corpus=corpus, keep=False)
     one = kept(suffix.initial_intervals(sa, seqs), "intervals")
-    rows = kept(sa.select("row", "bwt"), "index")
+    rows = suffix.bwt_rows(sa)
     two = kept(suffix.extend_backward(rows, one, DNA), "intervals")
     return suffix.extend_backward(rows, two, DNA)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions.alphabet import six_digits
@@ -83,3 +84,45 @@ def test_frequent_hashes_are_sent_as_gaps(spark, monkeypatch):
     assert sorted(r["mark"] for r in found.collect()) == [0, 7, (1 << 40) - 1]
     empty = spark.createDataFrame([], "mark bigint")
     assert repeats.frequent_hashes(empty, 40, 7, 5).count() == 0
+
+
+@pytest.fixture(scope="module")
+def mapped(spark):
+    """A table of mapped files over several chunks, with long repeats, and the same rows without them."""
+    from strandloom.functions.alphabet import DNA
+    from strandloom.operators import suffix, suffix_chunks, suffix_files
+
+    rng = random.Random(6)
+    texts = ["", "A", "N" * 90, "N" * 70, "ACGT" * 30, "ACGT" * 30, ""] + ["".join(rng.choice("ACGTN") for _ in range(rng.randrange(400))) for _ in range(9)]
+    texts += [texts[-1], texts[-2] + texts[-1], texts[-1] + texts[-2], texts[-1][60:], "GG" + texts[-1]]
+    seqs = spark.createDataFrame([(7 * i % 101, str(i), s, 1) for i, s in enumerate(texts)], "sid bigint, name string, s string, strand tinyint")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(suffix_chunks, "CHUNK", 700)
+        sa = suffix.suffix_table(seqs, DNA)
+        plain = spark.createDataFrame(suffix.joined_table(seqs, DNA).collect(), sa.schema)
+        assert isinstance(sa.packed, suffix_files.Packed)
+        yield sa, plain, seqs
+
+
+def test_a_table_keeps_ranks_of_anchors_only(spark):
+    from pathlib import Path
+
+    from strandloom.functions.alphabet import DNA
+    from strandloom.operators import ranking, suffix
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(20_000)) for _ in range(15)]
+    seqs = spark.createDataFrame([(i, str(i), s, 1) for i, s in enumerate(texts)], "sid bigint, name string, s string, strand tinyint")
+    before = set(ranking._KEPT)
+    suffix.suffix_table(seqs, DNA)
+    held = sum(f.stat().st_size for p in set(ranking._KEPT) - before for f in Path(p.removeprefix("file:")).rglob("*") if f.is_file())
+    assert held < 3 * sum(map(len, texts))
+
+
+def test_samples_are_made_without_the_other_rows(mapped):
+    from strandloom.operators import suffix
+
+    sa, plain, seqs = mapped
+    n = seqs.count()
+    for exponent in (0, 2, 5):
+        assert sorted(suffix.samples(sa, exponent, n).collect()) == sorted(suffix.samples(plain, exponent, n).collect())
