@@ -126,3 +126,20 @@ def test_samples_are_made_without_the_other_rows(mapped):
     n = seqs.count()
     for exponent in (0, 2, 5):
         assert sorted(suffix.samples(sa, exponent, n).collect()) == sorted(suffix.samples(plain, exponent, n).collect())
+
+
+def test_backward_extensions_read_packed_letters(mapped, monkeypatch):
+    from strandloom.functions.alphabet import DNA
+    from strandloom.operators import suffix
+
+    sa, plain, seqs = mapped
+    rows = suffix.bwt_rows(sa)
+    assert rows.pieces.count() < rows.count() == plain.count()
+    assert sorted(rows.collect()) == sorted(plain.select("row", "bwt").collect())
+    one = suffix.initial_intervals(sa, seqs)
+    two = suffix.extend_backward(rows, one, DNA)
+    want = sorted(suffix.word_intervals(plain, seqs, [2]).collect())
+    assert sorted(two.collect()) == want
+    assert sorted(suffix.extend_backward(rows, two, DNA).collect()) == sorted(suffix.word_intervals(plain, seqs, [3]).collect())
+    monkeypatch.setattr(suffix, "FEW_INTERVALS", 0)
+    assert sorted(suffix.extend_backward(rows, one, DNA).collect()) == want
