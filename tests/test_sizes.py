@@ -143,3 +143,15 @@ def test_backward_extensions_read_packed_letters(mapped, monkeypatch):
     assert sorted(suffix.extend_backward(rows, two, DNA).collect()) == sorted(suffix.word_intervals(plain, seqs, [3]).collect())
     monkeypatch.setattr(suffix, "FEW_INTERVALS", 0)
     assert sorted(suffix.extend_backward(rows, one, DNA).collect()) == want
+
+
+def test_intervals_of_words_come_from_sorted_keys(mapped):
+    from strandloom.functions.alphabet import DNA
+    from strandloom.operators import suffix, suffix_files
+
+    sa, plain, seqs = mapped
+    for lengths in ([4], [1, 5, 24], [25]):
+        assert (sa.packed.intervals(lengths) is None) == (max(lengths) > suffix_files.KEY)
+        assert sorted(suffix.word_intervals(sa, seqs, lengths).collect()) == sorted(suffix.word_intervals(plain, seqs, lengths).collect())
+    twins = [suffix.reverse_intervals(suffix.word_intervals(x, seqs, [4]), DNA).fillna(-1, ["rlo"]) for x in (sa, plain)]
+    assert sorted(twins[0].collect()) == sorted(twins[1].collect())
