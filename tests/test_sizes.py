@@ -155,3 +155,12 @@ def test_intervals_of_words_come_from_sorted_keys(mapped):
         assert sorted(suffix.word_intervals(sa, seqs, lengths).collect()) == sorted(suffix.word_intervals(plain, seqs, lengths).collect())
     twins = [suffix.reverse_intervals(suffix.word_intervals(x, seqs, [4]), DNA).fillna(-1, ["rlo"]) for x in (sa, plain)]
     assert sorted(twins[0].collect()) == sorted(twins[1].collect())
+
+
+def test_inverse_lf_makes_two_columns(mapped):
+    from strandloom.operators import suffix
+
+    sa, plain, _ = mapped
+    out = suffix.inverse_lf(sa)
+    assert sorted(out.collect()) == sorted(suffix.inverse_lf(plain).collect())
+    assert "srank" not in out._jdf.queryExecution().analyzed().toString()
