@@ -164,3 +164,13 @@ def test_inverse_lf_makes_two_columns(mapped):
     out = suffix.inverse_lf(sa)
     assert sorted(out.collect()) == sorted(suffix.inverse_lf(plain).collect())
     assert "srank" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_letters_are_sent_to_their_sequences_packed(mapped):
+    from strandloom.operators import suffix
+
+    sa, plain, seqs = mapped
+    out = suffix.reconstruct(sa)
+    assert "collect_list" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(out.collect()) == sorted(suffix.reconstruct(plain).collect())
+    assert sorted(r["s"] for r in out.collect()) == sorted(r["s"] for r in seqs.collect())
