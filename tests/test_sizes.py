@@ -174,3 +174,24 @@ def test_letters_are_sent_to_their_sequences_packed(mapped):
     assert "collect_list" not in out._jdf.queryExecution().analyzed().toString()
     assert sorted(out.collect()) == sorted(suffix.reconstruct(plain).collect())
     assert sorted(r["s"] for r in out.collect()) == sorted(r["s"] for r in seqs.collect())
+
+
+def test_rows_are_made_in_row_order(mapped):
+    sa, plain, _ = mapped
+    got = sa.collect()
+    assert sorted(got) == sorted(plain.collect())
+    assert sum(b["row"] != a["row"] + 1 for a, b in zip(got, got[1:], strict=False)) <= len(sa.packed.bounds) + 2
+
+
+def test_a_key_that_fills_a_range_is_left_to_the_other_table(spark, monkeypatch):
+    from strandloom.functions.alphabet import DNA
+    from strandloom.operators import suffix, suffix_chunks
+
+    monkeypatch.setattr(suffix_chunks, "CHUNK", 300)
+    texts = ["N" * 1100, "ACGT", "N" * 40]
+    seqs = spark.createDataFrame([(i, str(i), s, 1) for i, s in enumerate(texts)], "sid bigint, name string, s string, strand tinyint")
+    sa = suffix.suffix_table(seqs, DNA)
+    assert isinstance(sa.packed, suffix_chunks.Packed)
+    row = {(r["sid"], r["pos"]): r["row"] for r in sa.collect()}
+    want = sorted((s[p:].replace("N", "Z"), i, p) for i, s in enumerate(texts) for p in range(len(s)))
+    assert [row[i, p] for _, i, p in want] == list(range(3, 3 + len(want)))
