@@ -74,6 +74,47 @@ def test_repeats_reach_the_default_lengths(spark, tmp_path, monkeypatch, broadca
     assert [(r["word"], r["strand"], r["length"], r["nseq"]) for r in got] == shown
 
 
+@pytest.mark.parametrize("minlen, maxlen, letters", [(25, 45, "ACGT"), (25, 45, "ACN"), (10, 12, "ACGTN"), (26, 70, "AC")])
+def test_words_grow_in_one_task_as_they_do_in_all_texts(spark, monkeypatch, minlen, maxlen, letters):
+    """Pieces end within words, spans are sent in many lists and equal rows meet in several sorted parts."""
+    for name, value in (("STEP", 50), ("SPANS", 300), ("ROWS", 500), ("SHARE", 300), ("BROADCAST_ROWS", 4)):
+        monkeypatch.setattr(repeats, name, value)
+    rng = random.Random(len(letters) * minlen)
+
+    def some(n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    one, two, half = some(70), some(40), some(30)
+    turned = half + half.translate(TWIN)[::-1]  # its own reverse complement
+    texts = [x for i in range(14) for x in (some(i % 3) + one + some(5), two[i % 2 :], some(i) + one[20:] + two, "" if i else "A" * 90)]
+    texts += [some(i) + turned + some(3) for i in range(6)]
+    rows = [(i, str(i), s, 1) for i, s in enumerate([*texts, None])] + [(-1, "twin", one * 20, -1)]
+    seqs = spark.createDataFrame(rows, "sid bigint, name string, s string, strand tinyint")
+    want = mined(texts, minlen, maxlen, 10, 0.8)
+    assert len(want) > 3
+    assert {r["word"]: (r["length"], r["nseq"]) for r in repeats.repeat_words(seqs, DNA, minlen, maxlen).collect()} == want
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_repeats_shuffle_a_few_bytes_for_a_window(spark, monkeypatch, broadcast):
+    """Every window is frequent, with as many hashes as the broadcast takes and with more."""
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(7)
+    base = ["".join(rng.choice("ACGT") for _ in range(20_000)) for _ in range(5)]
+    texts = [base[i % 5] for i in range(60)]
+    seqs = spark.createDataFrame([(i, str(i), s, 1) for i, s in enumerate(texts)], "sid bigint, name string, s string, strand tinyint").repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jobs = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(jobs.apply(i).shuffleWriteBytes() for i in range(jobs.size()))
+
+    before = sent()
+    assert repeats.repeat_words(seqs, DNA).count() == 0
+    assert sent() - before < 5 * sum(map(len, texts))
+
+
 # --- index ----------------------------------------------------------------------------------------
 def suffixes(texts):
     """[(sid, pos, bwt)] of all rows of the suffix table, by sorting the suffixes themselves."""
